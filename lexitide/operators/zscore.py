@@ -115,7 +115,8 @@ def encode_contexts(contexts: DataFrame, load: Callable[[], Encoder] | None = No
                     if len(position) and 0 <= min(position) and max(position) < len(x):
                         words.append(word)
                         vectors.append(x[list(position)].mean(0).astype(np.float32))
-            yield pd.DataFrame({"word": words, "vector": vectors})
+            if words:
+                yield pd.DataFrame({"word": words, "vector": vectors})
 
     rows = contexts.where("word is not null and position is not null and tokens is not null").select(F.col(key).alias("word"), "position", "tokens")
     return rows.mapInPandas(run, "word string, vector array<float>")
