@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SHARED: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "lexitide", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,7 +31,20 @@ def build_session(app: str = "lexitide", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable by the Python workers, once an application, unless their path already has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _SHIPPED.add(app)
+    folder = tempfile.mkdtemp(prefix="lexitide-code-")  # the driver serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/lexitide", "zip", root, "lexitide"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
