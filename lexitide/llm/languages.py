@@ -12,6 +12,7 @@ of the sample anew and a second model is counted from those. The model is at mos
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,7 +52,8 @@ ORDERS = (4, 3, 2, 1)
 SWITCH = 6.0  # price of a change of language between two sentences, in nats
 BACKGROUND = 0.01  # share of the all-language frequency mixed into each language's own
 WORD = regex.compile(r"[\p{L}\p{M}]+")
-NO_WORD = regex.compile(r"(?:https?://|www\.)\S+|[#@]+\w+|<[^<>\s]{1,8}>|&#?\w{1,8};|\S*\d\S*")
+SCAN = regex.compile(r"https?://\S+|www\.\S+|[#@]+\w+|&#?\w{1,8};|([\p{L}\p{M}]+)", regex.I)
+QUOTING = re.compile(r"[“„«「『\"]")
 MARKUP = regex.compile(r"<p>|(?<!\S)@(?!\S)")
 
 
@@ -68,15 +70,29 @@ def readable(text: str) -> str:
     return MARKUP.sub(lambda m: "\n  " if m[0] == "<p>" else " ", text)
 
 
-def words_of(sentence: str) -> list[str]:
-    """Lower-case words; what a sentence quotes counts only where too little else is left."""
-    plain = NO_WORD.sub(" ", sentence)
-    words = WORD.findall(plain.lower())
-    if any(q in plain for q in "“„«「『\""):
-        outside = WORD.findall(QUOTES.sub(" ", plain).lower())
-        if len(outside) >= 2 or sum(map(len, outside)) >= 6:
-            return outside
-    return words
+def words_of(text: str, starts: list[int]) -> list[list[str]]:
+    """The words of each sentence, as written; what a sentence quotes counts only where too little else is left.
+
+    Links, tags, handles and entities are no words.
+    """
+    quotes = [m.span() for m in QUOTES.finditer(text)] if QUOTING.search(text) else []
+    out: list[list[str]] = [[] for _ in starts]
+    inside: list[list[str]] = [[] for _ in starts] if quotes else out
+    k, last, q = 0, len(starts) - 1, 0
+    for m in SCAN.finditer(text):
+        at = m.start(1)
+        if at < 0:
+            continue
+        while k < last and at >= starts[k + 1]:
+            k += 1
+        while q < len(quotes) and quotes[q][1] <= at:
+            q += 1
+        (inside if q < len(quotes) and quotes[q][0] <= at and text[quotes[q][0]] not in "([" else out)[k].append(m[1])
+    if quotes:
+        for row, quoted in zip(out, inside):
+            if quoted and len(row) < 2 and sum(map(len, row)) < 6:
+                row += quoted
+    return out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -107,37 +123,47 @@ class Model:
             mixed = np.log((1 - BACKGROUND) * own + BACKGROUND * alike + 1e-12)
             rows.extend(mixed - mixed.mean(1, keepdims=True) if len(ids) else [])
         self.rows = np.array(rows, dtype=np.float32).reshape(-1, len(LANGUAGES))
-        self.memo: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.known = np.zeros((1024, len(LANGUAGES)), dtype=np.float32)
 
-    def word(self, word: str) -> np.ndarray:
-        found = self.memo.get(word)
-        if found is not None:
-            return found
+    def _score(self, word: str) -> np.ndarray:
+        """Known words by their own frequency, others by the longest n-grams of which at least half are known."""
         known = self.ids[0].get(word)
-        score = np.zeros(len(LANGUAGES), dtype=np.float32)
         if known is not None:
-            score = self.rows[known]
-        else:
-            for n in ORDERS:
-                pieces = grams(word, n)
-                seen = [k for g in pieces if (k := self.ids[n].get(g)) is not None]
-                if seen and 2 * len(seen) >= len(pieces):
-                    score = self.rows[seen].sum(0) / n
-                    break
-        if len(self.memo) >= 100_000:
-            self.memo.clear()
-        self.memo[word] = score
-        return score
+            return self.rows[known]
+        for n in ORDERS:
+            pieces = grams(word, n)
+            seen = [k for g in pieces if (k := self.ids[n].get(g)) is not None]
+            if seen and 2 * len(seen) >= len(pieces):
+                return self.rows[seen].sum(0) / n
+        return np.zeros(len(LANGUAGES), dtype=np.float32)
+
+    def _place(self, word: str) -> int:
+        """The row of ``known`` that holds a word's score, which is worked out the first time the word is met."""
+        place = len(self.memo)
+        if place == len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        self.known[place] = self._score(word.lower())
+        self.memo[word] = place
+        return place
 
     def sentences(self, text: str) -> tuple[list[int], list[list[str]], np.ndarray]:
         """Starts, words and scores (one row each) of the sentences of ``text``."""
         plain = readable(text)
         starts = sentence_starts(plain)
-        words = [words_of(plain[a:b]) for a, b in zip(starts, starts[1:] + [len(plain)])]
+        words = words_of(plain, starts)
         scores = np.zeros((len(starts), len(LANGUAGES)), dtype=np.float32)
-        for k, row in enumerate(words):
-            for w in row:
-                scores[k] += self.word(w)
+        if len(self.memo) > 200_000:
+            self._forget()
+        memo = self.memo
+        flat = [p if (p := memo.get(w)) is not None else self._place(w) for row in words for w in row]
+        if flat:
+            sizes = np.array([len(row) for row in words])
+            full = np.flatnonzero(sizes)
+            scores[full] = np.add.reduceat(self.known[flat], np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), axis=0)
         return starts, words, scores
 
     @staticmethod
@@ -196,11 +222,11 @@ def _count(sample: DataFrame, model: "Model | None") -> DataFrame:
         for part in parts:
             for label, text in zip(part["code"], part["text"]):
                 if model is None:
-                    seen.setdefault(label, Counter()).update(words_of(readable(text)))
+                    seen.setdefault(label, Counter()).update(w.lower() for w in words_of(readable(text), [0])[0])
                     continue
                 _, words, scores = model.sentences(text)
                 for lang, row in zip(model.path(scores) if len(words) else [], words):
-                    seen.setdefault(LANGUAGES[lang], Counter()).update(row)
+                    seen.setdefault(LANGUAGES[lang], Counter()).update(w.lower() for w in row)
         for lang, words in seen.items():
             counts: Counter = Counter()
             for word, times in words.items():

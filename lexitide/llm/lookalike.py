@@ -40,7 +40,9 @@ ZWJ, ZWNJ = "‍", "‌"
 LIGATURES = range(0xFB00, 0xFB18)
 ARABIC_FORMS = (range(0xFB50, 0xFE00), range(0xFE70, 0xFEFD))
 
-TOKEN = regex.compile(r"[\x20-\x7e]+(?![^\x00-\x7f])|\X", regex.DOTALL)
+# Runs of signs that stay as they are and aren't joined to what follows; anything else, cluster by cluster.
+UNMOVED = r"\x20-\x7eÀ-ɏ“”„‘’«»…–—、。「」ぁ-ゖァ-ヺー一-鿿가-힣ء-غف-ي؟،"
+TOKEN = regex.compile(rf"([{UNMOVED}]+(?![\p{{M}}\p{{Cf}}ᄀ-ᇿﾞﾟ]))|(\X)", regex.DOTALL)
 PICTOGRAPH = regex.compile(r"\p{Extended_Pictographic}|\p{Regional_Indicator}")
 TEXT_DEFAULT = regex.compile(r"(?V1)[\p{Emoji}--\p{Emoji_Presentation}]")
 ARABIC = regex.compile(r"\p{Script=Arabic}")
@@ -98,12 +100,15 @@ class Transducer:
     def __init__(self, extra: dict[str, str] | None = None):
         self.trie: dict = {}
         self.images: dict[str, str] = {}
-        for key, image in {**look_table(), **(extra or {})}.items():
+        self.whole = regex.compile(rf"[{UNMOVED}]*")
+        for key, image in [*look_table().items(), *(extra or {}).items()]:
             node = self.trie
             for ch in unicodedata.normalize("NFD", key):
                 node = node.setdefault(ch, {})
             if node.setdefault("", image) != image:
                 raise ValueError(f"two images for {key!r}")
+            if self.whole.fullmatch(key):
+                raise ValueError(f"{key!r} is among the signs that stay")
 
     def _longest(self, text: str, at: int) -> tuple[int, str] | None:
         node, found = self.trie, None
@@ -149,10 +154,12 @@ class Transducer:
         return unicodedata.normalize("NFC", "".join(out))
 
     def __call__(self, text: str) -> str:
+        if text.isascii() and text.isprintable():
+            return text.strip(" ")
         out, images = [], self.images
-        for token in TOKEN.findall(text):
-            if token.isascii() and token.isprintable():
-                out.append(token)
+        for unmoved, token in TOKEN.findall(text):
+            if unmoved:
+                out.append(unmoved)
                 continue
             image = images.get(token)
             if image is None:
@@ -192,17 +199,6 @@ def with_look_form(df: DataFrame, text: str = "full_text", to: str = "look_form"
     return df.withColumn(to, _look_form(F.col(text)))
 
 
-def same_look_groups(df: DataFrame, key: str = "id", text: str = "full_text") -> DataFrame:
-    """One row per (``key``, text) with the form and ``n_texts``, the number of different texts of that look.
-
-    Copies of a (key, text) count once. Null keys and null texts take no part.
-    """
-    rows = df.select(F.col(key).alias(key), F.col(text).alias(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull()).distinct()
-    formed = with_look_form(rows, text, "look_form")
-    sizes = formed.groupBy("look_form").agg(F.min(text).alias("_lo"), F.max(text).alias("_hi"), F.count(F.lit(1)).alias("n_rows"))
-    return formed.join(sizes, "look_form").select(key, text, "look_form", "n_rows", (F.col("_lo") != F.col("_hi")).alias("differs"))
-
-
 def same_look_pairs(df: DataFrame, key: str = "id", text: str = "full_text") -> DataFrame:
     """Pairs of keys (a < b) whose texts differ as stored but look the same.
 

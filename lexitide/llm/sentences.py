@@ -11,6 +11,7 @@ foreign look-alikes, full-width signs or invisible signs are recognised; positio
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -73,14 +74,18 @@ SCRIPTS = {
 # -----------------------------------------------------------------------------------------------------------------
 
 LATIN, CYRILLIC = ("en", "es", "pt", "fr", "it", "de", "nl", "tr"), ("ru", "uk")
-LINE = r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_SIGNS = frozenset("\n\r\x0b\x0c\x85\u2028\u2029") | {"\r\n"}
 URL = regex.compile(r"(?:https?://|www\.)\S*[\w/]|\b[\w.+-]+@\w[\w-]*\.[\w.-]*\w", regex.I)
+_MAY_URL = re.compile(r"://|www\.|\w@\w", re.I)
+_MAY_QUOTE = re.compile(r"[“„«「『\"(\[]")
+_CAPITAL = regex.compile(r"(?<![\p{L}\p{N}@#/._])\p{Lu}\p{M}*(?:[\p{Ll}'’]|\s)")  # a word in capitals alone says nothing
 EMOJI = r"(?:\p{Extended_Pictographic}|\p{Regional_Indicator}|\p{Emoji_Modifier}|[‍️⃣]|[\U000e0020-\U000e007f])+"
 TAIL = regex.compile(rf"(?:[^\S\n\r]*(?:[#@][\w]+|(?:https?://|www\.)\S+|{EMOJI}))+")
-_LINE_OR_END = rf"(?P<line>(?:{LINE}\s*)+)|(?P<end>(?:[.!?…‥。؟۔।॥]|(?P<greek>[;·]))+(?: ?[.!?…]+(?![\w.]))*)"
-MARKS = regex.compile(rf"{_LINE_OR_END}|(?P<thai>(?!))")
+_LINE_OR_END = rf"(?P<line>{LINE}\s*)|(?P<end>(?:[.!?…‥。؟۔।॥]|(?P<greek>[;·]))+(?: ?[.!?…]+(?![\w.]))*)"
+MARKS = re.compile(rf"{_LINE_OR_END}|(?P<thai>(?!))")
 THAI_MARKS = regex.compile(rf"{_LINE_OR_END}|(?P<thai>(?<=\p{{Thai}}\S*) +)")
-THAI = regex.compile(r"\p{Thai}")
+THAI = re.compile("[\u0e00-\u0e7f]")
 CLOSERS = r"[\"'”’»)\]」』“›]*"
 QUOTES = regex.compile(r"“[^“”\n]*”|„[^“”„\n]*[“”]|«[^«»\n]*»|「[^「」\n]*」|『[^『』\n]*』|\"[^\"\n]*\"|\([^()\n]*\)|\[[^\[\]\n]*\]")
 
@@ -141,8 +146,9 @@ def _frequent() -> dict[str, list[str]]:
 
 
 _SCRIPT_OF = [(lang, regex.compile(p)) for lang, p in SCRIPTS.items()]
+_NOT_LATIN = re.compile("[\u0370-\u1dff\u3040-\ud7ff]")
 _LETTER, _GREEK, _CYRILLIC = regex.compile(r"\p{L}"), regex.compile(r"\p{Greek}"), regex.compile(r"\p{Cyrillic}")
-_UPPER, _LOWER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
+_LOWER = regex.compile(r"\p{Ll}")
 _NAMES = regex.compile(rf"{URL.pattern}|[#@]\w+", regex.I)
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
@@ -150,7 +156,7 @@ _WORD = regex.compile(r"[\p{L}\p{M}]+")
 def guess_tables(text: str, shadow: str) -> str:
     """The language whose tables are used: by script, then by frequent short words; 'en' where nothing tells."""
     letters, cyrillic = 0, False
-    if not text.isascii():
+    if not text.isascii() and _NOT_LATIN.search(text):
         counts = {lang: len(p.findall(text)) for lang, p in _SCRIPT_OF}
         lang, most = max(counts.items(), key=lambda x: x[1])
         letters = len(_LETTER.findall(text))
@@ -171,14 +177,20 @@ def guess_tables(text: str, shadow: str) -> str:
     return best[2]
 
 
+_PLAIN_CONTROLS = str.maketrans("\n\t\r", "   ")
+_PLAIN_CONTROLS_KEPT = str.maketrans("\t\r", " \n")
+
+
 def _shadow(text: str) -> tuple[str, list[int], list[int]]:
     """The look-alike form with line breaks kept, and the starts of its pieces there and in the text."""
     rewrite, parts, here, there = transducer(), [], [], []
+    if text.isascii() and (text.isprintable() or text.translate(_PLAIN_CONTROLS).isprintable()):
+        return text.translate(_PLAIN_CONTROLS_KEPT), [0], [0]
     at = to = 0
-    for token in TOKEN.findall(text):
-        if token.isascii() and token.isprintable():
-            image = token
-        elif token in "\n\r\r\n\x0b\x0c\x85  ":
+    for unmoved, token in TOKEN.findall(text):
+        if unmoved:
+            image = token = unmoved
+        elif token in LINE_SIGNS:
             image = "\n"
         else:
             image = rewrite.images.get(token)
@@ -195,8 +207,8 @@ def _shadow(text: str) -> tuple[str, list[int], list[int]]:
 
 def _back(pos: int, here: list[int], there: list[int], text: str) -> int:
     k = bisect_right(here, pos) - 1
-    off = pos - here[k]
-    return there[k] + (off if text[there[k]].isascii() else 0)
+    off = pos - here[k]  # inside a run of signs that stay; a cluster's image has no sentence start but its first sign
+    return there[k] + off
 
 
 def sentence_starts(text: str | None) -> list[int]:
@@ -214,11 +226,10 @@ def sentence_starts(text: str | None) -> list[int]:
     if first == n:
         return []
     lang = guess_tables(text, shadow)
-    safe = [m.span() for m in URL.finditer(shadow)]
-    bare = _NAMES.sub(" ", shadow)
-    cased = bool(_UPPER.search(bare)) or not _LOWER.search(bare)
+    safe = [m.span() for m in URL.finditer(shadow)] if _MAY_URL.search(shadow) else []
+    cased = bool(_CAPITAL.search(shadow)) or not _LOWER.search(_NAMES.sub(" ", shadow))
     rules = compiled(lang, cased)
-    quotes = [m.span() for m in QUOTES.finditer(shadow)]
+    quotes = [m.span() for m in QUOTES.finditer(shadow)] if _MAY_QUOTE.search(shadow) else []
     safe_from, quote_from = [a for a, _ in safe], [a for a, _ in quotes]
     starts, at = [first], first
     for m in (THAI_MARKS if not shadow.isascii() and THAI.search(shadow) else MARKS).finditer(shadow):
