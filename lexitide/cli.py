@@ -1,6 +1,9 @@
 """Command line: the pipeline's stages on files.
 
     python -m lexitide.cli counts TWITTER_OR_PUBLISHED TOKENS_PARQUET OUT
+    python -m lexitide.cli tokenize TWEETS_JSONL YEAR OUT
+    python -m lexitide.cli emerging COUNTS_PARQUET OUT [--tags TAG_COUNTS_JSON]
+    python -m lexitide.cli encode CONTEXTS_PARQUET OUT
     python -m lexitide.cli train TOKENS_PARQUET OUT [--embed-dim 300] [--vocab-size N]
     python -m lexitide.cli average VECTORS_PARQUET OUT
     python -m lexitide.cli main DOMAIN COUNTS_PARQUET WORDS VECTORS_OLD VECTORS_NEW OUT [--pairs PAIRS_CSV]
@@ -13,8 +16,9 @@ import argparse
 from pyspark.sql import functions as F
 
 from lexitide.config import DOMAINS
+from lexitide.functions.tokens import space_tokens
 from lexitide.operators import alignment, counts, zscore
-from lexitide.pipeline import analyse
+from lexitide.pipeline import analyse, final_words, tweet_sentences
 from lexitide.runtime import build_session
 from lexitide.sources import readers, sinks
 
@@ -26,6 +30,16 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("domain", choices=sorted(DOMAINS))
     c.add_argument("tokens")
     c.add_argument("out")
+    k = sub.add_parser("tokenize")
+    for name in ("tweets", "year", "out"):
+        k.add_argument(name)
+    e = sub.add_parser("emerging")
+    e.add_argument("counts")
+    e.add_argument("out")
+    e.add_argument("--tags")
+    n = sub.add_parser("encode")
+    n.add_argument("contexts")
+    n.add_argument("out")
     t = sub.add_parser("train")
     t.add_argument("tokens")
     t.add_argument("out")
@@ -49,6 +63,14 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "counts":
         rows = counts.count_tokens(spark.read.parquet(args.tokens), F.col("tokens"), "timestep")
         sinks.vectors(rows, args.out)
+    elif args.command == "tokenize":
+        sinks.token_table(tweet_sentences(readers.tweets(spark, args.tweets), args.year), args.out)
+    elif args.command == "emerging":
+        found = final_words(spark.read.parquet(args.counts), DOMAINS["twitter"], readers.tag_counts(spark, args.tags) if args.tags else None)
+        sinks.word_list(found, args.out)
+    elif args.command == "encode":
+        rows = spark.read.parquet(args.contexts).withColumn("tokens", space_tokens(F.col("sentence")))
+        sinks.vectors(zscore.encode_contexts(rows), args.out)
     elif args.command == "train":
         sinks.vectors(alignment.train_vectors(spark.read.parquet(args.tokens), args.embed_dim, max_vocabulary=args.vocab_size), args.out)
     elif args.command == "average":

@@ -16,14 +16,14 @@ from lexitide.runtime import parallelism
 def train_vectors(sentences: DataFrame, size: int = 300, window: int = 5, min_count: int = 5, max_vocabulary: int | None = None, iterations: int = 1, seed: int = 0) -> DataFrame:
     """(word, idx, count, vector) of skip-gram vectors learnt from ``sentences.tokens``; idx orders words by descending count.
 
-    With ``max_vocabulary`` only that many of the commonest words are kept, before training.
+    With ``max_vocabulary`` the minimum count is raised until no more words than that are left.
     """
     counts = sentences.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
     if max_vocabulary:
-        top = counts.orderBy(F.desc("count"), "word").limit(max_vocabulary)
-        listed = F.broadcast(top.agg(F.collect_set("word").alias("_kept")))  # bounded by max_vocabulary
-        sentences = sentences.join(listed).select(F.filter("tokens", lambda x: F.array_contains("_kept", x)).alias("tokens"))
-        counts = top
+        top = counts.orderBy(F.desc("count"), "word").limit(max_vocabulary + 1).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least")).first()
+        if top["n"] > max_vocabulary:
+            min_count = top["least"] + 1
+            counts = counts.where(F.col("count") >= min_count)
     parts = min(8, parallelism(sentences.sparkSession))
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, numPartitions=parts, seed=seed, inputCol="tokens", outputCol="v").fit(sentences.where(F.size("tokens") > 0))
     from pyspark.ml.functions import vector_to_array

@@ -45,10 +45,9 @@ def period_shares(counts: DataFrame, historical: Sequence[str]) -> DataFrame:
     per = counts.where("timestep is not null").groupBy("word").agg(
         F.coalesce(F.sum(F.when(old, F.col("n"))), F.lit(0)).alias("historical_n"), F.coalesce(F.sum(F.when(~old, F.col("n"))), F.lit(0)).alias("modern_n")
     )
-    sums = counts.where("timestep is not null").agg(F.sum(F.when(old, F.col("n"))).alias("_h"), F.sum(F.when(~old, F.col("n"))).alias("_m"))
-    both = per.join(F.broadcast(sums))  # one row
-    return both.select(
-        "word", "historical_n", "modern_n", F.try_divide(F.col("historical_n").cast("double"), F.col("_h")).alias("historical_share"), F.try_divide(F.col("modern_n").cast("double"), F.col("_m")).alias("modern_share")
+    h, m = counts.where("timestep is not null").agg(F.sum(F.when(old, F.col("n"))), F.sum(F.when(~old, F.col("n")))).first()  # two numbers
+    return per.select(
+        "word", "historical_n", "modern_n", F.try_divide(F.col("historical_n").cast("double"), F.lit(h)).alias("historical_share"), F.try_divide(F.col("modern_n").cast("double"), F.lit(m)).alias("modern_share")
     )
 
 

@@ -119,7 +119,10 @@ def growth(neighbours: DataFrame, counts: DataFrame, totals: DataFrame, key: str
     inside = radii(neighbours, key, min_cosines)
     sizes = inside.groupBy(key, "min_cos").agg(F.count(F.lit(1)).alias("_n"))
     sums = inside.join(counts.select(F.col("word").alias("neighbour"), "step_idx", "n"), "neighbour").groupBy(key, "min_cos", "step_idx").agg(F.sum("n").alias("_s"))
-    grid = sizes.join(F.broadcast(totals))  # one row a time step
+    steps = [F.struct(F.lit(r["step_idx"]).alias("step_idx"), F.lit(r["total"]).alias("total")) for r in totals.where("step_idx is not null").collect()]  # one row a time step
+    if not steps:
+        return neighbours.sparkSession.createDataFrame([], f"{key} {dict(neighbours.dtypes)[key]}, min_cos double, slope double, monotonicity double")
+    grid = sizes.select("*", F.inline(F.array(*steps)))
     share = F.try_divide(F.coalesce("_s", F.lit(0)).cast("double"), F.col("_n") * F.col("total"))
     series = grid.join(sums, [key, "min_cos", "step_idx"], "left").select(key, "min_cos", "step_idx", share.alias("share"))
     by = Window.partitionBy(key, "min_cos")

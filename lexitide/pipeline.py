@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.config import Domain
-from lexitide.functions.tokens import control_token
-from lexitide.operators import alignment, counts, matching, similarity, vocabularies
+from lexitide.functions.structure import simple_sentences
+from lexitide.functions.tokens import control_token, keep_token, tweet_tokens
+from lexitide.operators import alignment, counts, emergence, matching, similarity, vocabularies
 from lexitide.runtime import materialize
 
 
@@ -20,6 +21,23 @@ class Analysis:
     summary: DataFrame
 
 
+def tweet_sentences(messages: DataFrame, timestep: str) -> DataFrame:
+    """Sentence tokens of messages (tweet_id, text): numbered over all sentences, those without a token left dropped."""
+    rows = messages.select(F.lit(timestep).alias("timestep"), F.col("tweet_id").cast("string").alias("doc_id"), F.posexplode(simple_sentences(F.col("text"))).alias("k", "s"))
+    kept = F.transform(F.filter(tweet_tokens(F.col("s")), lambda x: keep_token(x)), F.lower)
+    return rows.select("timestep", "doc_id", (F.col("k") + 1).alias("sentence_id"), kept.alias("tokens")).where(F.size("tokens") > 0)
+
+
+def final_words(count_rows: DataFrame, domain: Domain, tags: DataFrame | None = None) -> DataFrame:
+    """Emerging words, the commonest first, without those the tag and series filters drop."""
+    s = domain.settings
+    found = emergence.emerging_words(count_rows, s)
+    if tags is not None:
+        found = emergence.keep_unflagged(found, emergence.tag_mode_filter(tags, s))
+    dropped = emergence.sparse_series_filter(count_rows, domain.steps, s).where(~F.col("kept")).select("word")
+    return found.join(dropped, "word", "left_anti").orderBy(F.desc("total"), "word")
+
+
 def find_pairs(domain: Domain, count_rows: DataFrame, words: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Matched (neologism, control): targets by their new vectors and ranks, controls from the old vocabulary."""
     s = domain.settings

@@ -108,6 +108,17 @@ def vocab_difference(spark: SparkSession, sf: str) -> DataFrame:
     return c.where(~F.col("timestep").isin(OLD)).select("word").distinct().exceptAll(c.where(F.col("timestep").isin(OLD)).select("word").distinct())
 
 
+def vocab_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the target list or of the counts."""
+    return _counts(spark, sf).select("word").union(table(spark, sf, "target_words").where("word is not null").select("word")).distinct()
+
+
+def vocab_bag(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each word stands in the two lists put together."""
+    both = _counts(spark, sf).select("word").unionByName(table(spark, sf, "target_words").where("word is not null").select("word"))
+    return both.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def target_counts(spark: SparkSession, sf: str) -> DataFrame:
     return vocabularies.only_words(_counts(spark, sf), table(spark, sf, "target_words"))
 
@@ -160,7 +171,7 @@ _MODE = "tm AS (SELECT word, max(CASE WHEN r = 1 THEN tag END) AS top_tag, bool_
 
 _ALL = (
     merged_counts, count_matrix, row_totals, step_totals, period_share, first_popular_use, emerging_words, part_word_years, emerging_part_words, sparse_series_filter,
-    tag_counts, tag_mode_filter, tag_mode_filter_strict, final_words, rel_rank, vocab_setops, vocab_intersection, vocab_difference, target_counts, other_counts, event_windows,
+    tag_counts, tag_mode_filter, tag_mode_filter_strict, final_words, rel_rank, vocab_setops, vocab_intersection, vocab_difference, vocab_union, vocab_bag, target_counts, other_counts, event_windows,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 _PW = r"""pw AS (SELECT p_partkey AS k, unnest(list_filter(regexp_split_to_array(lower(p_name), '\s+'), lambda x: x <> '')) AS word FROM part),
@@ -185,6 +196,8 @@ FROM c WHERE timestep IS NOT NULL GROUP BY word) SELECT *, historical_n / sum(hi
     "vocab_setops": f"WITH {_M} SELECT word, max((timestep IN {_OLD})::INT) AS in_first, max((timestep NOT IN {_OLD})::INT) AS in_second FROM c WHERE timestep IS NOT NULL GROUP BY word",
     "vocab_intersection": f"WITH {_M} SELECT word FROM c WHERE timestep IN {_OLD} INTERSECT SELECT word FROM c WHERE timestep NOT IN {_OLD}",
     "vocab_difference": f"WITH {_M} SELECT word FROM c WHERE timestep NOT IN {_OLD} EXCEPT SELECT word FROM c WHERE timestep IN {_OLD}",
+    "vocab_union": f"WITH {_M} SELECT word FROM c UNION SELECT word FROM target_words WHERE word IS NOT NULL",
+    "vocab_bag": f"WITH {_M} SELECT word, count(*) AS n FROM (SELECT word FROM c UNION ALL SELECT word FROM target_words WHERE word IS NOT NULL) GROUP BY word",
     "target_counts": f"WITH {_M} SELECT * FROM c WHERE word IN (SELECT word FROM target_words)",
     "other_counts": f"WITH {_M} SELECT * FROM c WHERE word NOT IN (SELECT word FROM target_words WHERE word IS NOT NULL)",
 }

@@ -107,3 +107,15 @@ def test_analysis_end_to_end(spark, tmp_path):
     assert pipeline.analyse(domain, counts, targets, old, old, given, contextual=True).statistics.where("word = 'w03' and min_cos = 0.35").count() == 1
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["main", "nowhere"])
+
+
+def test_tweets_to_final_words(spark):
+    messages = spark.createDataFrame([(1, "Hello Wörld! #tag 12"), (2, "!!! ..."), (3, "One. Two")], "tweet_id bigint, text string")
+    got = {(r.doc_id, r.sentence_id, tuple(r.tokens)) for r in pipeline.tweet_sentences(messages, "2007").collect()}
+    assert got == {("1", 1, ("hello", "wörld")), ("3", 1, ("one",)), ("3", 2, ("two",))}
+    rows = [("new", str(y), 10 * (y - 2010)) for y in range(2011, 2022)] + [("old", "2007", 900)]
+    domain = Domain("t", tuple(map(str, range(2007, 2011))), tuple(map(str, range(2011, 2022))))
+    counts = spark.createDataFrame(rows, "word string, timestep string, n bigint")
+    tags = spark.createDataFrame([("new", "NN", 3, 0)], "word string, tag string, n bigint, first_seen int")
+    assert [r.word for r in pipeline.final_words(counts, domain, tags).collect()] == ["new"]
+    assert pipeline.final_words(counts, domain, tags.selectExpr("word", "'CD' as tag", "n", "first_seen")).count() == 0

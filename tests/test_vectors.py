@@ -113,7 +113,7 @@ def test_encoder_and_training(spark):
     df = spark.createDataFrame([("a", ["x", "a"], [1]), ("a", ["a"], [4]), ("b", ["b", "b"], [0, 1])], "word string, tokens array<string>, position array<int>")
     got = zscore.encode_contexts(df, zscore.hashing_encoder(8)).collect()
     assert sorted(r.word for r in got) == ["a", "b"] and len(got[0].vector) == 8
-    sents = spark.createDataFrame([(["u", "v", "w"],)] * 30 + [([],)], "tokens array<string>")
+    sents = spark.createDataFrame([(["u", "v", "w"],)] * 30 + [(["u", "v", "u"],), ([],)], "tokens array<string>")
     words = alignment.train_vectors(sents, size=4, min_count=2, max_vocabulary=2).orderBy("idx").collect()
-    assert [r.word for r in words] == ["u", "v"] and words[0]["count"] == 30
+    assert [r.word for r in words] == ["u", "v"] and words[0]["count"] == 32
     assert df.select(similarity.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))).first()[0] == 11
