@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexitide.llm.sentences import QUOTES, sentence_starts
+from lexitide.llm.sentences import sentence_starts
 from lexitide.runtime import materialize, spread
 
 # --- Fixed values: languages and the ways their names are written -------------------------------------------------
@@ -54,6 +54,7 @@ BACKGROUND = 0.01  # share of the all-language frequency mixed into each languag
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 SCAN = regex.compile(r"https?://\S+|www\.\S+|[#@]+\w+|&#?\w{1,8};|([\p{L}\p{M}]+)", regex.I)
 QUOTING = re.compile(r"[“„«「『\"]")
+QUOTED = re.compile(r"“[^“”\n]*”|„[^“”„\n]*[“”]|«[^«»\n]*»|「[^「」\n]*」|『[^『』\n]*』|\"[^\"\n]*\"")
 MARKUP = regex.compile(r"<p>|(?<!\S)@(?!\S)")
 
 
@@ -75,23 +76,17 @@ def words_of(text: str, starts: list[int]) -> list[list[str]]:
 
     Links, tags, handles and entities are no words.
     """
-    quotes = [m.span() for m in QUOTES.finditer(text)] if QUOTING.search(text) else []
-    out: list[list[str]] = [[] for _ in starts]
-    inside: list[list[str]] = [[] for _ in starts] if quotes else out
-    k, last, q = 0, len(starts) - 1, 0
-    for m in SCAN.finditer(text):
-        at = m.start(1)
-        if at < 0:
-            continue
-        while k < last and at >= starts[k + 1]:
-            k += 1
-        while q < len(quotes) and quotes[q][1] <= at:
-            q += 1
-        (inside if q < len(quotes) and quotes[q][0] <= at and text[quotes[q][0]] not in "([" else out)[k].append(m[1])
-    if quotes:
-        for row, quoted in zip(out, inside):
-            if quoted and len(row) < 2 and sum(map(len, row)) < 6:
-                row += quoted
+    ends = starts[1:] + [len(text)]
+    if not QUOTING.search(text):
+        return [[w for w in SCAN.findall(text, a, b) if w] for a, b in zip(starts, ends)]
+    out = []
+    for a, b in zip(starts, ends):
+        row = [w for w in SCAN.findall(text, a, b) if w]
+        if QUOTING.search(text, a, b):
+            outside = [w for w in SCAN.findall(QUOTED.sub(" ", text[a:b])) if w]
+            if len(outside) >= 2 or sum(map(len, outside)) >= 6:
+                row = outside
+        out.append(row)
     return out
 
 
