@@ -43,7 +43,8 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
 
-PHONE = r"(\d{3}[-\.\s]??\d{3}[-\.\s]??\d{4}|\(\d{3}\)\s*\d{3}[-\.\s]??\d{4}|\d{3}[-\.\s]??\d{4})"
+# A local number of three and four digits; longer forms with an area code end in one, so a search finds them too.
+PHONE = rf"\p{{Nd}}{{3}}(?:[-.]|{SPACE})?\p{{Nd}}{{4}}"
 
 
 def patterns() -> dict[str, str]:
@@ -59,7 +60,7 @@ def patterns() -> dict[str, str]:
         "all_emoji_punct_space_control": rf"^[{e}\p{{P}}\p{{Z}}\p{{C}}]*$",
         "all_alnum_hyphen": r"^[\p{L}\p{N}'-]*$",
         "all_alnum_hyphen_emoji": rf"^[\p{{L}}\p{{N}}'{e}-]*$",
-        "url": r"http[^\s]+",
+        "url": rf"http[^{SPACE[1:-1]}]",
         "phone": PHONE,
     }
 

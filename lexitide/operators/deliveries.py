@@ -25,8 +25,9 @@ def one_per_message(df: DataFrame, key: str = "id", order: tuple[str, ...] = ("r
     late = [x for c in order if c in df.columns for x in (F.col(c).isNull(), F.col(c))]
     tie = F.xxhash64(*[F.col(c).cast("string") for c in df.columns])
     whole = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-    rows = df.withColumn("_id", number_id(F.col(key).cast("string"))).where("_id is not null")
+    name = "_number" + "_" * sum(c.lower().startswith("_number") for c in df.columns)  # a name no column has
+    rows = df.withColumn(name, number_id(F.col(key).cast("string"))).where(F.col(name).isNotNull())
     first = F.min_by(F.struct(*[F.col(c) for c in kept]), F.struct(*late, tie, whole)).alias("_row") if kept else None
     aggs = [F.count(F.lit(1)).alias("n_deliveries")] + ([first] if first is not None else [])
-    found = rows.groupBy(F.col("_id").alias(key)).agg(*aggs)
+    found = rows.groupBy(F.col(name).alias(key)).agg(*aggs)
     return found.select(key, *[F.col("_row")[c].alias(c) for c in kept], "n_deliveries")

@@ -57,6 +57,8 @@ def test_one_row_per_message(spark):
     assert again == got
     assert one_per_message(df.limit(0)).count() == 0
     assert one_per_message(df.select("id")).orderBy("id").collect()[0].n_deliveries == 3
+    clash = df.withColumn("_number", F.lit("x")).withColumn("_row", F.lit("y"))
+    assert {r.id: (r._number, r._row) for r in one_per_message(clash).collect()} == {k: ("x", "y") for k in got}
     assert one_per_message(df).columns == ["id", "full_text", "received_at", "batch_no", "line_no", "n_deliveries"]
 
 

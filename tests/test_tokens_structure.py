@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import structure, tokens
 
-TOKENS = ["#tag", "12-3", "²³", "!!", "http://x", "x", "a" * 50, "a" * 51, "don't", "don’t", "@u", "a_b", "Ab", "", "😂", "😂👍", "3rd", "-", "a😂", "555-123-4567", "‍", " ", "...", "x http", None]
+TOKENS = ["#tag", "12-3", "²³", "!!", "http://x", "x", "a" * 50, "a" * 51, "don't", "don’t", "@u", "a_b", "Ab", "", "😂", "😂👍", "3rd", "-", "a😂", "555-123-4567", "(555) 123 4567", "123.4567", "12-34567", "‍", " ", "...", "x http", None]
 
 
 def _by(spark, expr, rows):
@@ -35,7 +35,7 @@ def test_predicates_against_plain_python(spark):
         "all_alnum_hyphen_emoji": lambda t: all(c.isalnum() or c in "-'" or is_emoji(c) for c in t),
         "url": lambda t: bool(regex.search(r"http\S+", t)),
         "hashtag": lambda t: t.startswith("#"),
-        "phone": lambda t: bool(regex.search(r"\d{3}[-.\s]?\d{3}[-.\s]?\d{4}", t)),
+        "phone": lambda t: bool(regex.search(r"\d{3}[-.\s]?\d{4}", t)),
     }
     real = [t for t in TOKENS if t is not None]
     for name, check in spec.items():
