@@ -88,7 +88,8 @@ WITH keys AS (
 sizes AS (SELECT word, first_load AS l, count(*) AS n FROM keys WHERE first_load IS NOT NULL GROUP BY ALL),
 upto AS (SELECT word, l, sum(n) OVER (PARTITION BY word ORDER BY l) AS n FROM sizes),
 entries AS (SELECT word, l, greatest(1, ceil({stable_sample.BUCKETS * 250}.0 / n))::BIGINT AS list FROM upto WHERE n > 250),
-lists AS (SELECT * FROM entries UNION ALL SELECT word, NULL, max_by(list, l) FROM entries GROUP BY word)
+lists AS (SELECT * FROM entries UNION ALL
+  SELECT word, NULL, greatest(1, ceil({stable_sample.BUCKETS * 250}.0 / min_by(n, l)))::BIGINT FROM upto GROUP BY word HAVING min_by(n, l) > 250)
 SELECT k.word, tweet_id, sentence_id, first_load, coalesce(list, {stable_sample.BUCKETS}) / {stable_sample.BUCKETS}.0::DOUBLE AS rate
 FROM keys k LEFT JOIN lists e ON k.word = e.word AND k.first_load IS NOT DISTINCT FROM e.l
 WHERE ((('0x' || substr(md5('1234|' || k.word || '|' || tweet_id || '|' || sentence_id), 1, 5))::BIGINT * {stable_sample.STEP} + {stable_sample.START}) % {stable_sample.BUCKETS})

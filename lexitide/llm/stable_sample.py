@@ -34,7 +34,7 @@ def stable_sample(
 
     A key that comes several times counts once, with its first load. Rows without a word, message or sentence number can't
     be identified and are ignored. A key without any load number is never counted, so it moves no other key; it is
-    taken at the rate of its word's last entry. Loads must be whole before they are sampled. An empty table gives an empty sample.
+    taken at the rate of its word's first load, which no later load changes. Loads must be whole before they are sampled. An empty table gives an empty sample.
     """
     named = df.select(F.col(word).alias(word), F.col(message).alias(message), F.col(sentence).alias(sentence), F.col(load).alias("_load"))
     named = named.where(F.col(word).isNotNull() & F.col(message).isNotNull() & F.col(sentence).isNotNull())
@@ -42,11 +42,13 @@ def stable_sample(
     # Entries: one row per word and load; counted map-side, so a hot word shuffles a row a load and task.
     sizes = keys.where("first_load is not null").groupBy(F.col(word).alias("_w"), F.col("first_load").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     so_far = Window.partitionBy("_w").orderBy("_l")
-    entries = sizes.withColumn("_upto", F.sum("_n").over(so_far)).where(F.col("_upto") > per_word)
-    entries = entries.select("_w", "_l", F.greatest(F.lit(1), F.ceil(F.lit(BUCKETS * per_word) / F.col("_upto"))).cast("long").alias("_list"))
-    last = entries.groupBy("_w").agg(F.max_by("_list", "_l").alias("_list")).select("_w", F.lit(None).cast("int").alias("_l"), "_list")
+    upto = sizes.withColumn("_upto", F.sum("_n").over(so_far))
+    length = F.greatest(F.lit(1), F.ceil(F.lit(BUCKETS * per_word) / F.col("_upto"))).cast("long").alias("_list")
+    entries = upto.where(F.col("_upto") > per_word).select("_w", "_l", length)
+    first = upto.groupBy("_w").agg(F.min_by("_upto", "_l").alias("_upto")).where(F.col("_upto") > per_word)
+    first = first.select("_w", F.lit(None).cast("int").alias("_l"), length)
     # Only words that have outgrown per_word have entries: few rows, at most (all rows / per_word) words.
-    both = entries.unionByName(last)
+    both = entries.unionByName(first)
     joined = keys.join(both, (F.col(word) == F.col("_w")) & F.col("first_load").eqNullSafe(F.col("_l")), "left")
     length = F.coalesce(F.col("_list"), F.lit(BUCKETS))
     chosen = joined.where(bucket_position(F.col(word), F.col(message), F.col(sentence), seed=seed) < length)
