@@ -61,11 +61,19 @@ def kept_numbers(sentences: DataFrame, doc: str, order: str) -> DataFrame:
 
 
 def span(haystack: Column, needle: Column, limit: int = 512) -> Column:
-    """0-based positions of the first place where ``needle`` lies in ``haystack``; null where nowhere, or beyond ``limit``."""
-    last = F.size(haystack) - F.size(needle)
-    places = F.when((F.size(needle) >= 1) & (last >= 0), F.sequence(F.lit(0), last))
-    at = F.get(F.filter(places, lambda i: F.slice(haystack, i + 1, F.size(needle)) == needle), F.lit(0))
-    return F.when(at + F.size(needle) <= limit, F.sequence(at, at + F.size(needle) - 1))
+    """0-based positions of the first place where ``needle`` lies in ``haystack``; null where nowhere, or beyond ``limit``.
+
+    Both arrays are bound once, by a lambda over a single struct, so their expressions aren't evaluated at every place anew.
+    """
+
+    def search(h: Column, n: Column) -> Column:
+        last = F.size(h) - F.size(n)
+        places = F.when((F.size(n) >= 1) & (last >= 0), F.sequence(F.lit(0), last))
+        return F.get(F.filter(places, lambda i: (F.get(h, i) == F.get(n, F.lit(0))) & (F.slice(h, i + 1, F.size(n)) == n)), F.lit(0))
+
+    at = F.transform(F.array(F.struct(haystack.alias("h"), needle.alias("n"))), lambda s: F.struct(search(s["h"], s["n"]).alias("at"), F.size(s["n"]).alias("n")))
+    found = F.transform(at, lambda s: F.when(s["at"] + s["n"] <= limit, F.sequence(s["at"], s["at"] + s["n"] - 1)))
+    return F.get(found, F.lit(0))
 
 
 def span_of_either(haystack: Column, bare: Column, spaced: Column, limit: int = 512) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexitide.functions import structure, tokens
 from lexitide.operators import counts
 from lexitide.operators.deliveries import number_id
-from lexitide.runtime import table
+from lexitide.runtime import spread, table
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,33 +19,38 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("tweet_id").agg(F.coalesce(full, F.max("text")).alias("text"), F.max("year").alias("year"))
 
 
+def _documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of the documents, spread over all cores where there are fewer files than cores."""
+    return spread(table(spark, sf, "documents").select(*columns))
+
+
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("timestep", "text")
+    docs = _documents(spark, sf, "timestep", "text")
     return counts.count_tokens(docs, tokens.space_tokens(F.col("text")), "timestep")
 
 
 def token_counts_clean(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("timestep", "text")
+    docs = _documents(spark, sf, "timestep", "text")
     kept = F.transform(F.filter(tokens.space_tokens(F.col("text"), lower=False), lambda x: tokens.keep_token(x)), F.lower)
     return counts.count_tokens(docs, kept, "timestep")
 
 
 def token_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.explode(tokens.space_tokens(F.col("text"), lower=False)).alias("token"))
+    docs = _documents(spark, sf, "text").select(F.explode(tokens.space_tokens(F.col("text"), lower=False)).alias("token"))
     words = docs.distinct()
     return words.select("token", *[c.alias(n) for n, c in tokens.predicates(F.col("token")).items()])
 
 
 def control_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates for control words: clean tokens that aren't target words, with their counts."""
-    docs = table(spark, sf, "documents").select("text")
+    docs = _documents(spark, sf, "text")
     counted = counts.count_tokens(docs, F.filter(tokens.space_tokens(F.col("text")), tokens.control_token))
     return counted.join(table(spark, sf, "target_words").where("word is not null").select("word"), "word", "left_anti")
 
 
 def sentence_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of all documents: fragments, paragraphs, clitics joined, one number series a document; empty ones dropped."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf, "doc_id", "text")
     joined = F.transform(structure.paragraphs(structure.strip_leading_id(F.col("text"))), structure.join_clitics)
     sentences = F.flatten(F.transform(joined, structure.simple_sentences))
     rows = docs.select("doc_id", F.inline(structure.numbered(sentences)))
@@ -64,7 +69,7 @@ def html_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def genre_merge(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(counts.merge_steps(F.col("timestep"), F.lower(F.trim("source")).startswith("genre")).alias("step"), "text")
+    docs = _documents(spark, sf, "timestep", "source", "text").select(counts.merge_steps(F.col("timestep"), F.lower(F.trim("source")).startswith("genre")).alias("step"), "text")
     return counts.count_tokens(docs, tokens.space_tokens(F.col("text")), "step").groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("total"))
 
 
