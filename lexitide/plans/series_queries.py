@@ -128,7 +128,7 @@ def other_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Token counts by hour over the event table read as a stream, deliveries within the watermark once."""
+    """Token counts by day over the event table read as a stream, open windows included, deliveries within the watermark once."""
     from lexitide.streaming import token_counts
 
     path = f"{sf}/events.parquet"
@@ -136,7 +136,7 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     folder, name = path.rsplit("/", 1)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if not _is_dir(spark, path) else spark.readStream.schema(schema).parquet(path)
     stream = stream.withColumn("at", F.col("ts").cast("timestamp"))
-    counted = token_counts.windowed_counts(stream.select("event_id", "at", "event_type"), tokens.space_tokens(F.col("event_type")), "at", "1 day", "1 day")
+    counted = token_counts.windowed_counts(stream.select("event_id", "at", "event_type"), tokens.space_tokens(F.col("event_type")), "at", "1 day", "1 day", key="event_id")
     return token_counts.run_once(spark, counted, "events")
 
 
@@ -200,4 +200,8 @@ FROM c WHERE timestep IS NOT NULL GROUP BY word) SELECT *, historical_n / sum(hi
     "vocab_bag": f"WITH {_M} SELECT word, count(*) AS n FROM (SELECT word FROM c UNION ALL SELECT word FROM target_words WHERE word IS NOT NULL) GROUP BY word",
     "target_counts": f"WITH {_M} SELECT * FROM c WHERE word IN (SELECT word FROM target_words)",
     "other_counts": f"WITH {_M} SELECT * FROM c WHERE word NOT IN (SELECT word FROM target_words WHERE word IS NOT NULL)",
+    "event_windows": r"""WITH e AS (SELECT DISTINCT ON (event_id) ts, event_type FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL ORDER BY event_id, ts),
+a AS (SELECT * FROM e UNION ALL SELECT ts, event_type FROM events WHERE ts IS NOT NULL AND event_id IS NULL),
+t AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, unnest(list_filter(regexp_split_to_array(lower(event_type), '\s+'), lambda x: x <> '')) AS word FROM a)
+SELECT window_start, word, count(*) AS n FROM t GROUP BY ALL""",
 }

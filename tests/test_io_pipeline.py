@@ -88,6 +88,16 @@ def test_stream_counts_late_and_repeated(spark, tmp_path):
     assert {(r.word, r.n) for r in token_counts.run_once(spark, counted).collect()} >= {("a", 2), ("b", 1)}
 
 
+def test_stream_emits_open_windows(spark, tmp_path):
+    """Windows after the watermark, counts that grow from batch to batch, and messages without a key are all there."""
+    rows = [("1", "2020-01-01 00:10:00", "a b"), ("1", "2020-01-01 00:10:00", "a b"), ("2", "2020-01-01 00:20:00", "a"), (None, "2020-01-01 00:30:00", "a"), (None, "2020-01-01 00:30:00", "a"), ("9", "2020-01-02 00:00:00", "z")]
+    for part in (rows, [("1", "2020-01-01 00:10:00", "late"), ("10", "2020-01-02 00:30:00", "z"), ("9", "2020-01-02 00:00:00", "z")]):
+        spark.createDataFrame(part, "id string, at string, text string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id string, at timestamp, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counted = token_counts.windowed_counts(stream, tokens.space_tokens(F.col("text")), "at", "1 hour", "1 hour", key="id")
+    assert sorted((r.word, r.n) for r in token_counts.run_once(spark, counted).collect()) == [("a", 4), ("b", 1), ("z", 2)]
+
+
 def test_analysis_end_to_end(spark, tmp_path):
     rng = np.random.default_rng(3)
     steps_old, steps_new = ("2007", "2008"), ("2011",)
