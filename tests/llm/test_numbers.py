@@ -190,6 +190,23 @@ def test_copies_and_dense_clusters(spark):
     assert found / total >= 0.9
 
 
+def test_every_word_gets_its_nearest(spark):
+    """Words without neighbours at the least cosine get their k nearest too, equal to brute force, copies and bad rows included."""
+    x = _planted(400, 6)
+    x[390:396] = x[389]
+    names = [f"w{k:04d}" for k in range(400)]
+    rows = [("h", w, v.tolist(), 0.0, 0) for w, v in zip(names, x)] + [("h", "w0003", x[3].tolist(), 0.0, 0), ("h", "zero", [0.0] * 96, 0.0, 0), ("h", "short", [1.0], 0.0, 0), ("h", None, x[0].tolist(), 0.0, 0)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(5)
+    got = {(r.word, r["rank"]): (r.neighbour, r.cosine) for r in neighbours.most_similar(df, every=True, block_rows=150).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -2)
+    assert set(got) == {(w, r) for w in names for r in range(1, 11)}
+    for i, w in enumerate(names):
+        for r, (cosine, neighbour) in enumerate(sorted((-round(c[i, j], 6), names[j]) for j in range(400) if j != i)[:10], 1):
+            assert got[w, r][0] == neighbour and got[w, r][1] == pytest.approx(-cosine, abs=2e-6)
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).standard_normal((5, 768)).astype(np.float32)
     y = neighbours.Rotation(768, 1)(x)
