@@ -33,23 +33,27 @@ def stable_sample(
     """(word, message, sentence, first_load, rate): the sample of each word.
 
     A key that comes several times counts once, with its first load. Rows without a word, message or sentence number can't
-    be identified and are ignored. A key without any load number is never counted, so it moves no other key; it is
-    taken at the rate of its word's first load, which no later load changes. Loads must be whole before they are sampled. An empty table gives an empty sample.
+    be identified and are ignored. Keys with a row without load number form a class of their own, sampled by its own size
+    (``per_word`` of them): no load changes their rate, and they move no key of a load. A key with both kinds of rows is
+    taken if either chooses it, so a later delivery never drops it. Only further rows without load number, which have no
+    order, can lower the rate of that class once it outgrows ``per_word``. Loads must be whole before they are sampled. An
+    empty table gives an empty sample.
     """
     named = df.select(F.col(word).alias(word), F.col(message).alias(message), F.col(sentence).alias(sentence), F.col(load).alias("_load"))
     named = named.where(F.col(word).isNotNull() & F.col(message).isNotNull() & F.col(sentence).isNotNull())
-    keys = named.groupBy(word, message, sentence).agg(F.min("_load").alias("first_load"))
+    keys = named.groupBy(word, message, sentence).agg(F.min("_load").alias("first_load"), F.bool_or(F.col("_load").isNull()).alias("_loose"))
     # Entries: one row per word and load; counted map-side, so a hot word shuffles a row a load and task.
     sizes = keys.where("first_load is not null").groupBy(F.col(word).alias("_w"), F.col("first_load").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     so_far = Window.partitionBy("_w").orderBy("_l")
     upto = sizes.withColumn("_upto", F.sum("_n").over(so_far))
     length = F.greatest(F.lit(1), F.ceil(F.lit(BUCKETS * per_word) / F.col("_upto"))).cast("long").alias("_list")
     entries = upto.where(F.col("_upto") > per_word).select("_w", "_l", length)
-    first = upto.groupBy("_w").agg(F.min_by("_upto", "_l").alias("_upto")).where(F.col("_upto") > per_word)
-    first = first.select("_w", F.lit(None).cast("int").alias("_l"), length)
+    loose = keys.where("_loose").groupBy(F.col(word).alias("_lw")).agg(F.count(F.lit(1)).alias("_upto")).where(F.col("_upto") > per_word)
+    loose = loose.select("_lw", length.alias("_loose_list"))
     # Only words that have outgrown per_word have entries: few rows, at most (all rows / per_word) words.
-    both = entries.unionByName(first)
-    joined = keys.join(both, (F.col(word) == F.col("_w")) & F.col("first_load").eqNullSafe(F.col("_l")), "left")
-    length = F.coalesce(F.col("_list"), F.lit(BUCKETS))
+    joined = keys.join(entries, (F.col(word) == F.col("_w")) & (F.col("first_load") == F.col("_l")), "left").join(loose, (F.col(word) == F.col("_lw")) & F.col("_loose"), "left")
+    of_load = F.when(F.col("first_load").isNotNull(), F.coalesce("_list", F.lit(BUCKETS)))
+    of_loose = F.when(F.col("_loose"), F.coalesce("_loose_list", F.lit(BUCKETS)))
+    length = F.greatest(of_load, of_loose)  # skips the null one
     chosen = joined.where(bucket_position(F.col(word), F.col(message), F.col(sentence), seed=seed) < length)
     return chosen.select(word, message, sentence, "first_load", (length / F.lit(float(BUCKETS))).alias("rate"))

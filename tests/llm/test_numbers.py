@@ -38,6 +38,22 @@ def test_sample_is_stable_and_grows_only(spark):
     assert stable_sample.stable_sample(df.limit(0)).count() == 0
 
 
+def test_sample_keeps_keys_without_load(spark):
+    """Keys without a load number stay when their word's first load comes (a), and when they come again with a load (b); they move no others."""
+    schema = "word string, tweet_id bigint, sentence_id int, load_no int"
+    sample = lambda rows: {tuple(r)[:3] for r in stable_sample.stable_sample(spark.createDataFrame(rows, schema), per_word=100).collect()}
+    a = [("a", i, 1, None) for i in range(80)]
+    b = [("b", i, 1, 0) for i in range(90)] + [("b", 1000 + i, 1, None) for i in range(60)]
+    many = [("m", i, 1, None) for i in range(500)]
+    before = sample(a + b + many)
+    assert {r[:3] for r in a + b} <= before and 60 < sum(w == "m" for w, *_ in before) < 140
+    later = [("a", 5000 + i, 1, 1) for i in range(900)] + [("b", 1000 + i, 1, 5) for i in range(60)] + [("b", 5000 + i, 1, 5) for i in range(900)] + [("m", i, 1, 7) for i in range(900)]
+    assert before <= sample(a + b + many + later)
+    loads = [r for r in b + later if r[3] is not None]
+    assert sample(loads) <= sample(a + b + many + later)
+    assert stable_sample.stable_sample(spark.createDataFrame(a + later, schema), per_word=100).where("rate is null").count() == 0
+
+
 def test_sample_is_uniform(spark):
     df = spark.range(40_000).select(F.lit("a").alias("word"), F.col("id").alias("tweet_id"), F.lit(1).alias("sentence_id"), F.lit(0).alias("load_no"))
     got = stable_sample.stable_sample(df, per_word=2000)
