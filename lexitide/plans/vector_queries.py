@@ -135,7 +135,7 @@ def common_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 def word2vec_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Skip-gram vectors learnt from all documents (16 wide, one pass)."""
     docs = table(spark, sf, "documents").select(F.filter(tokens.space_tokens(F.col("text")), tokens.control_token).alias("tokens"))
-    return alignment.train_vectors(docs, size=16, max_vocabulary=5000)
+    return alignment.train_vectors(docs, size=16)
 
 
 _E = "e AS (SELECT vec_id AS word, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL)"

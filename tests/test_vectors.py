@@ -117,3 +117,15 @@ def test_encoder_and_training(spark):
     words = alignment.train_vectors(sents, size=4, min_count=2, max_vocabulary=2).orderBy("idx").collect()
     assert [r.word for r in words] == ["u", "v"] and words[0]["count"] == 32
     assert df.select(similarity.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))).first()[0] == 11
+
+
+def test_word2vec_query_keeps_every_word(spark, tmp_path):
+    """More words than any cap the query once had, all at the minimum count: each gets a vector."""
+    from lexitide.plans import vector_queries
+
+    letters = "abcdefghijklmnopqr"
+    words = ["".join(p) for p in itertools.islice(itertools.product(letters, repeat=4), 5200)]
+    rows = [(k, " ".join(words[k * 520 : (k + 1) * 520] * 5)) for k in range(10)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = vector_queries.word2vec_vectors(spark, str(tmp_path)).select("word", "count").collect()
+    assert {(r.word, r["count"]) for r in got} == {(w, 5) for w in words}
