@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lexitide.runtime import shared_dir
+from lexitide.runtime import work_dir
 
 
 def windowed_counts(stream: DataFrame, tokens: Column, time: str, width: str = "1 hour", late: str = "2 hours", key: str | None = None) -> DataFrame:
@@ -26,7 +26,7 @@ def run_once(spark: SparkSession, counted: DataFrame, name: str = "counts") -> D
 
     Windows the watermark hasn't closed yet are there too: each batch writes the rows it changed, and a row's last state counts.
     """
-    base = f"{shared_dir(spark)}/lexitide/stream-{name}-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     spark.createDataFrame([], counted.schema).write.parquet(f"{base}/rows/batch=-1")  # a stream without rows has no batch
 
     def keep(changed: DataFrame, batch: int) -> None:
