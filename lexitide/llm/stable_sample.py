@@ -1,22 +1,24 @@
 """Problem 1: a sample per word that is the same in every run and keeps what it chose as data grow.
 
 Nested hash buckets. A key (word, message, sentence) belongs for ever to one of 2^20 fine buckets, given by a hash of the
-key alone. One fixed permutation orders the buckets. For each word and load an entry is appended to the bucket list: the
-number of buckets, in that order, from which keys that first came with this load are taken. The entry depends only on how
-many keys the word had up to that load, so no later load changes it: what was chosen stays chosen. Entries are nested,
-since each is a prefix of the same permutation.
-
-With ``per_word`` = n, all keys are taken while a word has at most n of them; a word that has grown to N keys adds later
-keys at the rate n / N, so a word's sample grows only with the logarithm of its growth. The rate stands in the result
-(``rate``) and its reciprocal weighs a row in estimates.
+key alone. One fixed permutation orders the buckets, and the sample holds the keys of the first buckets in that order: a list
+that is only ever appended to. Whether a key is chosen depends on the key and on its word's list, on nothing else in
+the data, so rows added later, earlier, in the same load or without a load number never drop a chosen key, and the
+share is alike in all loads.
+
+All words share the list of ``listed`` buckets. A word may have a longer list of its own, kept as a small table (word, buckets) that
+``append_lists`` lengthens, never shortens, so that words with few keys have enough. This table is state: it can't be computed
+anew from the data each time, since a rule that gives a word of one key that key, whatever it is, and never drops a key,
+must choose everything.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 20  # five hexadecimal digits of the hash
+LISTED = BUCKETS // 4  # buckets in the list all words share
 STEP, START = 387_420_489, 11  # odd step: position = (bucket * STEP + START) mod BUCKETS is a permutation
 
 
@@ -28,32 +30,42 @@ def bucket_position(*key: Column, seed: str = "1234") -> Column:
 
 
 def stable_sample(
-    df: DataFrame, word: str = "word", message: str = "tweet_id", sentence: str = "sentence_id", load: str = "load_no", per_word: int = 250, seed: str = "1234"
-) -> DataFrame:
+    df: DataFrame, word: str = "word", message: str = "tweet_id", sentence: str = "sentence_id", load: str = "load_no",
+    listed: int = LISTED, lists: DataFrame | None = None, seed: str = "1234",
+) -> DataFrame:
     """(word, message, sentence, first_load, rate): the sample of each word.
 
-    A key that comes several times counts once, with its first load. Rows without a word, message or sentence number can't
-    be identified and are ignored. Keys with a row without load number form a class of their own, sampled by its own size
-    (``per_word`` of them): no load changes their rate, and they move no key of a load. A key with both kinds of rows is
-    taken if either chooses it, so a later delivery never drops it. Only further rows without load number, which have no
-    order, can lower the rate of that class once it outgrows ``per_word``. Loads must be whole before they are sampled. An
-    empty table gives an empty sample.
+    A key that comes several times counts once; ``first_load`` is the least load number it came with, null if it had none. Rows without
+    a word, message or sentence number can't be identified and are ignored. ``lists`` (word, buckets) gives words longer lists
+    than ``listed``; entries that are shorter, or null, change nothing, and of several the longest counts. ``rate`` is the share of
+    buckets in the word's list; its reciprocal weighs a row in estimates. Keys outside the list are dropped before anything is
+    shuffled, and a hot word is spread by its keys. An empty table gives an empty sample.
     """
-    named = df.select(F.col(word).alias(word), F.col(message).alias(message), F.col(sentence).alias(sentence), F.col(load).alias("_load"))
+    named = df.select(F.col(word).alias(word), F.col(message).alias(message), F.col(sentence).alias(sentence), F.col(load).alias("first_load"))
     named = named.where(F.col(word).isNotNull() & F.col(message).isNotNull() & F.col(sentence).isNotNull())
-    keys = named.groupBy(word, message, sentence).agg(F.min("_load").alias("first_load"), F.bool_or(F.col("_load").isNull()).alias("_loose"))
-    # Entries: one row per word and load; counted map-side, so a hot word shuffles a row a load and task.
-    sizes = keys.where("first_load is not null").groupBy(F.col(word).alias("_w"), F.col("first_load").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    so_far = Window.partitionBy("_w").orderBy("_l")
-    upto = sizes.withColumn("_upto", F.sum("_n").over(so_far))
-    length = F.greatest(F.lit(1), F.ceil(F.lit(BUCKETS * per_word) / F.col("_upto"))).cast("long").alias("_list")
-    entries = upto.where(F.col("_upto") > per_word).select("_w", "_l", length)
-    loose = keys.where("_loose").groupBy(F.col(word).alias("_lw")).agg(F.count(F.lit(1)).alias("_upto")).where(F.col("_upto") > per_word)
-    loose = loose.select("_lw", length.alias("_loose_list"))
-    # Only words that have outgrown per_word have entries: few rows, at most (all rows / per_word) words.
-    joined = keys.join(entries, (F.col(word) == F.col("_w")) & (F.col("first_load") == F.col("_l")), "left").join(loose, (F.col(word) == F.col("_lw")) & F.col("_loose"), "left")
-    of_load = F.when(F.col("first_load").isNotNull(), F.coalesce("_list", F.lit(BUCKETS)))
-    of_loose = F.when(F.col("_loose"), F.coalesce("_loose_list", F.lit(BUCKETS)))
-    length = F.greatest(of_load, of_loose)  # skips the null one
-    chosen = joined.where(bucket_position(F.col(word), F.col(message), F.col(sentence), seed=seed) < length)
-    return chosen.select(word, message, sentence, "first_load", (length / F.lit(float(BUCKETS))).alias("rate"))
+    place = bucket_position(F.col(word), F.col(message), F.col(sentence), seed=seed)
+    if lists is None:
+        length = F.lit(min(listed, BUCKETS))
+        chosen = named.where(place < length)
+    else:
+        longer = lists.where(F.col(word).isNotNull() & (F.col("buckets") > listed)).groupBy(F.col(word).alias("_w")).agg(F.max("buckets").alias("_b"))
+        length = F.least(F.greatest(F.col("_b"), F.lit(listed)), F.lit(BUCKETS))
+        chosen = named.join(longer, F.col(word) == F.col("_w"), "left").where(place < length)
+    keys = chosen.groupBy(word, message, sentence, (length / F.lit(float(BUCKETS))).alias("rate")).agg(F.min("first_load").alias("first_load"))
+    return keys.select(word, message, sentence, "first_load", "rate")
+
+
+def append_lists(
+    df: DataFrame, per_word: int, lists: DataFrame | None = None, word: str = "word", message: str = "tweet_id", sentence: str = "sentence_id", listed: int = LISTED
+) -> DataFrame:
+    """(word, buckets): the lists, longer where a word's keys need it for about ``per_word`` of them; never shorter than ``lists``.
+
+    Only words with lists longer than ``listed`` have a row, so the table is small beside the data: at most the words with fewer
+    than ``per_word * BUCKETS / listed`` keys, and those that once had so few.
+    """
+    keys = df.select(word, message, sentence).where(F.col(word).isNotNull() & F.col(message).isNotNull() & F.col(sentence).isNotNull()).distinct()
+    needed = F.least(F.lit(BUCKETS), F.ceil(F.lit(BUCKETS * per_word) / F.count(F.lit(1)))).cast("long")
+    wanted = keys.groupBy(word).agg(needed.alias("buckets"))
+    if lists is not None:
+        wanted = wanted.unionByName(lists.select(word, F.col("buckets").cast("long").alias("buckets")).where(F.col(word).isNotNull()))
+    return wanted.groupBy(word).agg(F.max("buckets").alias("buckets")).where(F.col("buckets") > listed)
