@@ -1,9 +1,11 @@
 """Problem 4: sentence boundaries by cascading segmentation rule tables.
 
 A rule is a pair of regular expressions, one for what stands before a position and one for what follows, and says
-break or no break. At each candidate position the tables of the text's language come first, then the common tables,
-and the first rule that matches decides. Candidates are end marks (with closing quotes and brackets), line breaks,
-and, in Thai, blanks.
+break or no break. At each candidate position the tables of line breaks and of blanks between Thai words come first, then
+those of the text's language, of its script, and the common ones, and the first rule that matches decides; where none
+matches there is no break. Candidates are end marks (with closing quotes and brackets), line breaks, and blanks after Thai.
+A table of spans (links, quotations, brackets) names stretches that no end mark inside breaks. Tables are chosen by script
+and, where languages share one, by frequent words and letter n-grams; languages that come close lend their abbreviations.
 
 Rules read a *shadow* of the text, its look-alike form (see ``lookalike``), so that abbreviations written with
 foreign look-alikes, full-width signs or invisible signs are recognised; positions are mapped back to the text as stored.
@@ -52,17 +54,30 @@ LEADING = {
 }
 # Short frequent words by which the tables of one language are chosen where several share a script.
 FREQUENT = {
-    "en": "the of and to in is that it was for on are as with they at be this from have or by but not what all were we when",
-    "es": "el la los las de que y en un una por con del se su es más muy pero como al",
-    "pt": "o os as de que e do da em um uma não para com por mais no na seu ao é mas",
-    "fr": "le la les des et en un une du est que qui dans pour pas sur au ne se avec il elle",
-    "it": "il lo la gli le di che e un una del della per non con è nel sono più i al",
-    "de": "der die das und ist nicht ein eine den dem zu mit auf für von im sich des auch es",
-    "nl": "de het een van en in is dat op te zijn met voor niet aan er door naar om ook",
+    "en": "the of and to in is that it was for on are as with they at be this from have or by but not what all were we when you he she",
+    "es": "el la los las de que y en un una por con del se su es más muy pero como al me ya sin",
+    "pt": "o os as de que e do da em um uma não para com por mais no na seu ao é mas eu já sem",
+    "fr": "le la les des et en un une du est que qui dans pour pas sur au ne se avec il elle je nous sans",
+    "it": "il lo la gli le di che e un una del della per non con è nel sono più i al in mi io",
+    "de": "der die das und ist nicht ein eine den dem zu mit auf für von im sich des auch es ich in am er sie war",
+    "nl": "de het een van en in is dat op te zijn met voor niet aan er door naar om ook ik wat bij",
     "tr": "bir ve bu da de için ile çok ama gibi ne o daha olarak her ben şu ya ise",
     "ru": "и в не на что он с как это по но из у за от же так бы она его",
     "uk": "і в не на що він з як це та до але за від у й так є вона його",
 }
+# Letters and letter groups by which they are told apart too.
+GRAMS = {
+    "en": "th wh ght ing ck ee oo sh ow ea",
+    "es": "ción ñ ¿ ¡ ll rr ue ía ado uy",
+    "pt": "ção ções nh lh ã õ ê ss ei",
+    "fr": "eau aux ç è ê ou ai eu qu",
+    "it": "zz zione gli cch à è ì tt gn",
+    "de": "sch ich ei ß ä ö ü cht ung tz ach",
+    "nl": "ij aa oe ee sch uu cht ui",
+    "tr": "ı ğ ş lar ler yor ü ö",
+    "ru": "ы э ъ ё",
+    "uk": "ї є ґ",
+}
 CONTINUES = "and or but e y und et и і й та ve en och of ou och και o oder ma mais pero и но"
 REPORTS = (
     "she said|he said|they said|said|she asked|he asked|dijo|preguntó|disse|perguntou|dit-|demanda|chiese|sagte|fragte|zei|vroeg|dedi|diye sordu"
@@ -74,6 +89,7 @@ SCRIPTS = {
 # -----------------------------------------------------------------------------------------------------------------
 
 LATIN, CYRILLIC = ("en", "es", "pt", "fr", "it", "de", "nl", "tr"), ("ru", "uk")
+CLOSE = 0.5  # share of the best language's evidence from which another one lends its abbreviations
 LINE = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LINE_SIGNS = frozenset("\n\r\x0b\x0c\x85\u2028\u2029") | {"\r\n"}
 URL = regex.compile(r"(?:https?://|www\.)\S*[\w/]|\b[\w.+-]+@\w[\w-]*\.[\w.-]*\w", regex.I)
@@ -82,7 +98,7 @@ _MAY_QUOTE = re.compile(r"[“„«「『\"(\[]")
 _CAPITAL = regex.compile(r"(?<![\p{L}\p{N}@#/._])\p{Lu}\p{M}*(?:[\p{Ll}'’]|\s)")  # a word in capitals alone says nothing
 EMOJI = r"(?:\p{Extended_Pictographic}|\p{Regional_Indicator}|\p{Emoji_Modifier}|[‍️⃣]|[\U000e0020-\U000e007f])+"
 TAIL = regex.compile(rf"(?:[^\S\n\r]*(?:[#@][\w]+|(?:https?://|www\.)\S+|{EMOJI}))+")
-_LINE_OR_END = rf"(?P<line>{LINE}\s*)|(?P<end>(?:[.!?…‥。؟۔।॥]|(?P<greek>[;·]))+(?: ?[.!?…]+(?![\w.]))*)"
+_LINE_OR_END = rf"(?P<line>{LINE}\s*)|(?P<end>[.!?…‥。؟۔।॥;·]+(?: ?[.!?…]+(?![\w.]))*)"
 MARKS = re.compile(rf"{_LINE_OR_END}|(?P<thai>(?!))")
 THAI_MARKS = regex.compile(rf"{_LINE_OR_END}|(?P<thai>(?<=\p{{Thai}}\S*) +)")
 THAI = re.compile("[\u0e00-\u0e7f]")
@@ -96,20 +112,40 @@ def _words(names: str) -> str:
     return "|".join(regex.escape(x) for x in sorted(forms, key=lambda x: (-len(x), x)))
 
 
-def _leading(names: str) -> Rule:
-    return Rule(False, rf"(?<![\p{{L}}\p{{N}}\p{{M}}.])(?i:{_words(names)}) ?\.", r"(?=\s*\S)")
+NO_WORD_BEFORE = r"(?<![\p{L}\p{N}\p{M}.])"
+
+
+def _leading(names: str) -> list[Rule]:
+    """No break after an abbreviation; one of several parts may be written with blanks, and has no break inside either."""
+    inside = []
+    for name in names.split():
+        parts = transducer()(name).split(".")
+        for k in range(1, len(parts)):
+            before, rest = (r"\. ?".join(regex.escape(x) for x in some) for some in (parts[:k], parts[k:]))
+            inside.append(rf"{before}\.(?= ?{rest} ?\.)")
+    rules = [Rule(False, rf"{NO_WORD_BEFORE}(?i:{_words(names)}) ?\.", r"(?=\s*\S)")]
+    return rules + ([Rule(False, rf"{NO_WORD_BEFORE}(?i:{'|'.join(inside)})", "")] if inside else [])
 
 
-def tables(lang: str, cased: bool) -> list[Rule]:
-    """The cascade for one language: its own table, the tables of its script, the common one."""
-    own, upper = [], r"\p{Lu}\p{Lt}"
+def lent(lang: str) -> list[Rule]:
+    """What a language that comes close in a text too short to tell lends: its abbreviations, but for such as may be words of one vowel."""
+    rules = _leading(" ".join(x for x in LEADING[lang].split() if x not in {*"aeiouyаеиоу"}))
+    return rules + ([Rule(False, r"(?<![\p{L}\p{N}.,])\d{1,2}\.", r" +\p{L}")] if lang == "de" else [])
+
+
+def tables(lang: str, cased: bool) -> tuple[list[Rule], list[Rule]]:
+    """The cascade for one language: lines and Thai blanks and its own table; the tables of its script and the common one."""
+    upper = r"\p{Lu}\p{Lt}"
+    always = [Rule(True, rf"{LINE}\s*", r""), Rule(True, r"\p{Thai}\S* +", r"")]
+    own = []
     if lang == "de":
         own.append(Rule(False, r"(?<![\p{L}\p{N}.,])\d{1,2}\.", r" +\p{L}"))
+        own.append(Rule(False, rf"\p{{L}}(?i:{_words('str')})\.", r" *\d"))
     if lang in LEADING:
-        own.append(_leading(LEADING[lang]))
+        own += _leading(LEADING[lang])
     if lang == "ru":
         own.insert(0, Rule(True, rf"(?i:{_words('и')}) (?i:{_words('др пр')})\.", rf" +[{upper}]"))
-    script = [_leading(LEADING["common"])] if lang in LATIN or lang not in SCRIPTS else [_leading("dr prof mr mrs no fig vs cf approx i.e e.g")]
+    script = _leading(LEADING["common"]) if lang in LATIN or lang not in SCRIPTS else _leading("dr prof mr mrs no fig vs cf approx i.e e.g")
     common = [
         Rule(False, r"(?<![\p{L}\p{N}\p{M}.-])\p{Lu} ?\.", rf" *(?:[{upper}] ?\.|[{upper}][\p{{L}}\p{{M}}'’-]+)"),
         Rule(False, r"(?<![\p{L}\p{N}\p{M}.-])\p{Lu} ?\.", r" +\p{Lo}") if lang in SCRIPTS else Rule(False, r"\p{Lu}\.(?=\p{Lu}\.)", ""),
@@ -122,27 +158,52 @@ def tables(lang: str, cased: bool) -> list[Rule]:
         common.append(Rule(False, r"(?<![\p{L}\p{N}\p{M}.-])\p{Ll} ?\.", r" \p{Ll} ?\. "))
         common.append(Rule(False, r"(?<![\p{L}\p{N}\p{M}.-])\p{Ll} ?\. \p{Ll} ?\.", r" \p{Ll}"))
         common.append(Rule(False, r"(?:…|\.\.)", rf" (?:{_words(CONTINUES)})\b") if lang not in SCRIPTS else Rule(False, r"…", r"[和与而但及]"))
+    if lang != "el":
+        common.append(Rule(False, r"[;·]", r""))  # question mark and colon of Greek alone
     common += [
         Rule(True, rf"[.!?…‥。؟۔।॥;·]{CLOSERS}", r"(?:\s|$)"),
         Rule(True, rf"[。؟۔।॥]{CLOSERS}", r""),
         Rule(True, rf"[!?…‥]{CLOSERS}", r"\p{Lo}") if lang in ("zh", "ja", "th") else Rule(True, rf"[\p{{L}}\p{{M}}\p{{N}}\"”»)][!?]+{CLOSERS}", r"[\p{L}\"“«„¿¡]"),
         Rule(True, rf"\p{{L}}\p{{M}}*\p{{L}}\p{{M}}*[.…]+{CLOSERS}", r"\p{Lu}(?:\p{Ll}|\s)" if cased else r"\p{L}{3}"),
     ]
-    return own + script + common
+    return always + own, script + common
+
+
+Compiled = list[tuple[bool, regex.Pattern, regex.Pattern]]
+
+
+def _compile(rules: list[Rule]) -> Compiled:
+    return [(r.breaks, regex.compile(f"(?<={r.before})"), regex.compile(r.after)) for r in rules]
+
+
+@lru_cache(maxsize=64)
+def _compiled_parts(lang: str, cased: bool) -> tuple[Compiled, Compiled]:
+    first, last = tables(lang, cased)
+    return _compile(first), _compile(last)
 
 
 @lru_cache(maxsize=64)
-def compiled(lang: str, cased: bool) -> list[tuple[bool, regex.Pattern, regex.Pattern]]:
-    return [(r.breaks, regex.compile(f"(?<={r.before})"), regex.compile(r.after)) for r in tables(lang, cased)]
+def _compiled_lent(lang: str) -> Compiled:
+    return _compile(lent(lang))
+
+
+@lru_cache(maxsize=4096)
+def compiled(lang: str, close: tuple[str, ...], cased: bool) -> Compiled:
+    """The cascade of a text: lines and its language, close languages, script and common rules."""
+    first, last = _compiled_parts(lang, cased)
+    return first + [rule for one in close for rule in _compiled_lent(one)] + last
 
 
 @lru_cache(maxsize=1)
-def _frequent() -> dict[str, list[str]]:
-    by: dict[str, list[str]] = {}
-    for lang, words in FREQUENT.items():
-        for word in words.split():
-            by.setdefault(transducer()(word), []).append(lang)
-    return by
+def _evidence() -> tuple[dict[str, list[str]], dict[str, list[str]], regex.Pattern]:
+    """Frequent words and letter groups (longest first in the pattern) with the languages they speak for."""
+    words: dict[str, list[str]] = {}
+    groups: dict[str, list[str]] = {}
+    for source, by in ((FREQUENT, words), (GRAMS, groups)):
+        for lang, names in source.items():
+            for name in names.split():
+                by.setdefault(transducer()(name), []).append(lang)
+    return words, groups, regex.compile("|".join(sorted(map(regex.escape, groups), key=lambda x: (-len(x), x))))
 
 
 _SCRIPT_OF = [(lang, regex.compile(p)) for lang, p in SCRIPTS.items()]
@@ -153,8 +214,8 @@ _NAMES = regex.compile(rf"{URL.pattern}|[#@]\w+", regex.I)
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
 
-def guess_tables(text: str, shadow: str) -> str:
-    """The language whose tables are used: by script, then by frequent short words; 'en' where nothing tells."""
+def guess_tables(text: str, shadow: str) -> tuple[str, tuple[str, ...]]:
+    """The language whose tables are used, by script, then by frequent words and letter groups; and those that come close to it."""
     letters, cyrillic = 0, False
     if not text.isascii() and _NOT_LATIN.search(text):
         counts = {lang: len(p.findall(text)) for lang, p in _SCRIPT_OF}
@@ -163,18 +224,22 @@ def guess_tables(text: str, shadow: str) -> str:
         if counts["ja"] * 8 > counts["zh"] > 0 or most == counts["ja"] > 0:
             lang, most = "ja", counts["ja"] + counts["zh"]
         if most * 3 > letters:
-            return lang
+            return lang, ()
         if len(_GREEK.findall(text)) * 3 > letters:
-            return "el"
+            return "el", ()
         cyrillic = len(_CYRILLIC.findall(text)) * 3 > letters
-    hits: dict[str, int] = {}
-    known = _frequent()
-    for word in _WORD.findall(shadow.lower()):
-        for lang in known.get(word, ()):
-            hits[lang] = hits.get(lang, 0) + 1
-    allowed = CYRILLIC if cyrillic else LATIN
-    best = max(((hits.get(lang, 0), -k, lang) for k, lang in enumerate(allowed)), default=(0, 0, "en"))
-    return best[2]
+    words, groups, pattern = _evidence()
+    lower, score = shadow.lower(), dict.fromkeys(CYRILLIC if cyrillic else LATIN, 0.0)
+    for word in _WORD.findall(lower):
+        for lang in words.get(word, ()):
+            if lang in score:
+                score[lang] += 2 / len(words[word])
+    for group in pattern.findall(lower):
+        for lang in groups[group]:
+            if lang in score:
+                score[lang] += 0.25 / len(groups[group])
+    best = max(score, key=score.get)
+    return best, tuple(lang for lang in score if lang != best and score[lang] >= CLOSE * score[best])
 
 
 _PLAIN_CONTROLS = str.maketrans("\n\t\r", "   ")
@@ -195,7 +260,7 @@ def _shadow(text: str) -> tuple[str, list[int], list[int]]:
         else:
             image = rewrite.images.get(token)
             if image is None:
-                image = rewrite.images[token] = rewrite.image(token)
+                image = rewrite.image(token)
         if image:
             here.append(to)
             there.append(at)
@@ -225,10 +290,10 @@ def sentence_starts(text: str | None) -> list[int]:
         first += 1
     if first == n:
         return []
-    lang = guess_tables(text, shadow)
+    lang, close = guess_tables(text, shadow)
     safe = [m.span() for m in URL.finditer(shadow)] if _MAY_URL.search(shadow) else []
     cased = bool(_CAPITAL.search(shadow)) or not _LOWER.search(_NAMES.sub(" ", shadow))
-    rules = compiled(lang, cased)
+    rules = compiled(lang, close, cased)
     quotes = [m.span() for m in QUOTES.finditer(shadow)] if _MAY_QUOTE.search(shadow) else []
     safe_from, quote_from = [a for a, _ in safe], [a for a, _ in quotes]
     starts, at = [first], first
@@ -236,9 +301,8 @@ def sentence_starts(text: str | None) -> list[int]:
         pos = m.end()
         if pos <= at:
             continue
-        if m.lastgroup == "line" or m["line"]:
-            nxt = pos
-        else:
+        nxt = pos
+        if m["line"] is None:
             k = bisect_right(safe_from, m.start()) - 1
             if k >= 0 and m.start() < safe[k][1] and (m["end"] is None or pos < safe[k][1]):
                 continue
@@ -247,19 +311,16 @@ def sentence_starts(text: str | None) -> list[int]:
                 close = quotes[k][1]
                 if m["thai"] is not None or shadow[quotes[k][0]] in "([" or shadow[pos : close - 1].strip():
                     continue
-                pos = close
-            tail = TAIL.match(shadow, pos if m["thai"] is None else m.start())
-            nxt = tail.end() if tail else pos
-            if m["thai"] is None:
-                if m["greek"] and lang != "el":
-                    continue
-                for breaks, before, after in rules:
-                    if before.match(shadow, pos) and after.match(shadow, nxt):
-                        break
-                else:
-                    continue
-                if not breaks:
-                    continue
+                pos = nxt = close
+            if tail := TAIL.match(shadow, pos if m["thai"] is None else m.start()):
+                nxt = tail.end()
+        for breaks, before, after in rules:
+            if before.match(shadow, pos) and after.match(shadow, nxt):
+                break
+        else:
+            continue
+        if not breaks:
+            continue
         while nxt < n and shadow[nxt].isspace():
             nxt += 1
         if nxt >= n:
@@ -287,6 +348,9 @@ def _starts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(sentence_starts)
 
 
+_starts = _starts.asNondeterministic()  # so the planner neither repeats it nor moves a filter on it below a shuffle
+
+
 def with_sentences(df: DataFrame, text: str = "full_text") -> DataFrame:
     """One row per sentence, with all columns of ``df`` and ``sentence_no`` (from 1), ``start_pos`` and ``sentence``.
 
