@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexitide.runtime import parallelism
+
 CAPACITY = 4096
 
 
@@ -121,7 +123,9 @@ def fill_containers(df: DataFrame, key: str = "doc_id", text: str = "text", capa
         name = batch["_b"].iloc[0]
         return batch.drop(columns="_b").assign(container=[f"b{name}w{w}" for w in windows])
 
-    placed = loose.withColumn("_b", lot).groupBy("_b").applyInPandas(place, PLACED)
+    # few bytes, much work: a stated number of partitions isn't coalesced to one task
+    dealt = loose.withColumn("_b", lot).repartition(parallelism(df.sparkSession), "_b")
+    placed = dealt.groupBy("_b").applyInPandas(place, PLACED)
     copy = F.row_number().over(Window.partitionBy("doc_id", "piece_no").orderBy("n_tokens"))
     alone = full.withColumn("_c", copy).select(*full.columns, F.concat_ws("p", F.concat(F.lit("d"), F.col("doc_id")), "piece_no", "_c").alias("container"))
     return placed.unionByName(alone)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,40 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
     return stable_sample.stable_sample(table(spark, sf, "tweet_roberta_tokenized"))
 
 
+def _additions(rows: DataFrame) -> dict[str, DataFrame]:
+    """What the table was before rows of four kinds were added to it."""
+    return {
+        "later loads": rows.where("load_no <= 2"),
+        "earlier loads": rows.where("load_no > 2"),
+        "rows without a load": rows.where("load_no is not null"),
+        "the same loads": rows.where("sentence_id > 1"),
+    }
+
+
+def p1_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """For each kind of addition, how many keys were chosen before it, and how many of them it dropped: always none."""
+    rows = table(spark, sf, "tweet_roberta_tokenized")
+    key = ["word", "tweet_id", "sentence_id"]
+    tagged = [stable_sample.stable_sample(before).select(F.lit(name).alias("added"), *key) for name, before in _additions(rows).items()]
+    before = reduce(DataFrame.unionByName, tagged)
+    after = stable_sample.stable_sample(rows).select(*key, F.lit(1).alias("kept"))
+    return before.join(after, key, "left").groupBy("added").agg(F.count(F.lit(1)).alias("chosen_before"), F.count_if(F.col("kept").isNull()).alias("dropped"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, sf, "historical_embeddings_zscored"))
 
 
+def _delivered(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "tweets").select(number_id(F.col("id")).alias("id"), "full_text")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.same_look_pairs(_messages(spark, sf))
+    return lookalike.same_look_pairs(_delivered(spark, sf))
+
+
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.look_classes(_delivered(spark, sf))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,6 +79,15 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(packing.fill_containers(table(spark, sf, "documents")))
 
 
+def p7_room(spark: SparkSession, sf: str) -> DataFrame:
+    """What SQL can say of any good filling: all tokens are placed, nothing is overfull or divided without need, little room is left."""
+    placed = packing.fill_containers(table(spark, sf, "documents"))
+    vain = (F.col("n_pieces") > 1) & (F.col("piece_no") == F.col("n_pieces")) & (F.col("start_token") + F.col("n_tokens") <= packing.CAPACITY)
+    per = placed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count_if(vain).alias("vain"))
+    fill = F.sum("n") / F.count(F.lit(1)) / packing.CAPACITY
+    return per.agg(F.sum("n").alias("tokens"), (F.max("n") > packing.CAPACITY).alias("overfull"), F.sum("vain").alias("divided_in_vain"), (fill >= 0.95).alias("well_filled"))
+
+
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
@@ -66,10 +104,12 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_sample, p2_found, p3_found, p4_found, p6_found, p6_frequencies, p7_found, p7_report, p8_mixture, p8_shares, p9_found)
+    made = (p1_sample, p1_kept, p2_found, p3_found, p3_classes, p4_found, p6_found, p6_frequencies, p7_found, p7_report, p7_room, p8_mixture, p8_shares, p9_found)
     return {f.__name__: f for f in made}
 
 
+_CHOSEN = f"""word IS NOT NULL AND tweet_id IS NOT NULL AND sentence_id IS NOT NULL AND
+  (('0x' || substr(md5('1234|' || word || '|' || tweet_id || '|' || sentence_id), 1, 5))::BIGINT * {stable_sample.STEP} + {stable_sample.START}) % {stable_sample.BUCKETS} < {stable_sample.LISTED}"""
 _TERMS = r"""
 WITH once AS (SELECT word, timestep, shard_no, max("count") AS n FROM token_counts WHERE word IS NOT NULL GROUP BY ALL),
 per_record AS (
@@ -81,19 +121,12 @@ marked AS (SELECT *, CASE WHEN occurrences < 5 THEN 'rare' WHEN occurrences >= 0
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_sample": f"""
-WITH keys AS (
-  SELECT word, tweet_id, sentence_id, min(load_no) AS first_load FROM tweet_roberta_tokenized
-  WHERE word IS NOT NULL AND tweet_id IS NOT NULL AND sentence_id IS NOT NULL GROUP BY ALL),
-sizes AS (SELECT word, first_load AS l, count(*) AS n FROM keys WHERE first_load IS NOT NULL GROUP BY ALL),
-upto AS (SELECT word, l, sum(n) OVER (PARTITION BY word ORDER BY l) AS n FROM sizes),
-entries AS (SELECT word, l, greatest(1, ceil({stable_sample.BUCKETS * 250}.0 / n))::BIGINT AS list FROM upto WHERE n > 250),
-lists AS (SELECT * FROM entries UNION ALL
-  SELECT word, NULL, greatest(1, ceil({stable_sample.BUCKETS * 250}.0 / min_by(n, l)))::BIGINT FROM upto GROUP BY word HAVING min_by(n, l) > 250)
-SELECT k.word, tweet_id, sentence_id, first_load, coalesce(list, {stable_sample.BUCKETS}) / {stable_sample.BUCKETS}.0::DOUBLE AS rate
-FROM keys k LEFT JOIN lists e ON k.word = e.word AND k.first_load IS NOT DISTINCT FROM e.l
-WHERE ((('0x' || substr(md5('1234|' || k.word || '|' || tweet_id || '|' || sentence_id), 1, 5))::BIGINT * {stable_sample.STEP} + {stable_sample.START}) % {stable_sample.BUCKETS})
-  < coalesce(list, {stable_sample.BUCKETS})""",
+        "p1_sample": f"SELECT word, tweet_id, sentence_id, min(load_no) AS first_load, {stable_sample.LISTED / stable_sample.BUCKETS}::DOUBLE AS rate FROM tweet_roberta_tokenized WHERE {_CHOSEN} GROUP BY ALL",
+        "p1_kept": f"""
+WITH k AS (SELECT a AS added, word, tweet_id, sentence_id FROM (
+  SELECT *, unnest(['later loads', 'earlier loads', 'rows without a load', 'the same loads']) AS a, unnest([load_no <= 2, load_no > 2, load_no IS NOT NULL, sentence_id > 1]) AS there
+  FROM tweet_roberta_tokenized WHERE {_CHOSEN}) WHERE there GROUP BY ALL)
+SELECT added, count(*) AS chosen_before, 0::BIGINT AS dropped FROM k GROUP BY added""",
         "p2_found": """
 WITH rows AS (SELECT DISTINCT word, vector FROM historical_embeddings_zscored
   WHERE word IS NOT NULL AND len(vector) = 768 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
@@ -102,5 +135,6 @@ best AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY round(c, 6)
 SELECT DISTINCT least(a, b) AS word_a, greatest(a, b) AS word_b FROM best WHERE r <= 10""",
         "p6_found": _TERMS + "SELECT term AS word, mark FROM marked WHERE mark IS NOT NULL",
         "p6_frequencies": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
+        "p7_room": "SELECT sum(coalesce(strlen(text), 0))::BIGINT AS tokens, false AS overfull, 0::BIGINT AS divided_in_vain, true AS well_filled FROM documents",
         "p7_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4096",
     }

@@ -22,43 +22,41 @@ def _contexts(loads, hot=600):
     return rows + [(None, 1, 1, 0, "", ""), ("w1", None, 1, 0, "", ""), ("w1", 1, None, 0, "", ""), ("w1", 77_777, 1, None, "", "")]
 
 
+def _chosen(df, **options):
+    return {tuple(r)[:3] for r in stable_sample.stable_sample(df, **options).collect()}
+
+
 def test_sample_is_stable_and_grows_only(spark):
-    chosen = []
-    for loads in (1, 2, 4):
-        df = spark.createDataFrame(_contexts(loads), CONTEXT)
-        got = {tuple(r)[:3] for r in stable_sample.stable_sample(df, per_word=100).collect()}
-        assert got == {tuple(r)[:3] for r in stable_sample.stable_sample(df.repartition(5, "sentence_id").orderBy(F.rand(1)), per_word=100).collect()}
-        chosen.append(got)
-    assert chosen[0] < chosen[1] < chosen[2]
-    hot = [sum(w == "hot" for w, *_ in c) for c in chosen]
-    assert 100 < hot[0] < 220 and hot[2] < 150 * (1 + np.log(4)) + 60  # grows with the logarithm of the word's growth
-    small = {r[:3] for r in _contexts(4) if r[0] == "w3" and None not in r[:3]}
-    assert {c for c in chosen[2] if c[0] == "w3"} == small  # at most per_word: all of them
-    assert ("w1", 77_777, 1) in chosen[2]
-    assert stable_sample.stable_sample(df.limit(0)).count() == 0
-
-
-def test_sample_keeps_keys_without_load(spark):
-    """Keys without a load number stay when their word's first load comes (a), and when they come again with a load (b); they move no others."""
-    schema = "word string, tweet_id bigint, sentence_id int, load_no int"
-    sample = lambda rows: {tuple(r)[:3] for r in stable_sample.stable_sample(spark.createDataFrame(rows, schema), per_word=100).collect()}
-    a = [("a", i, 1, None) for i in range(80)]
-    b = [("b", i, 1, 0) for i in range(90)] + [("b", 1000 + i, 1, None) for i in range(60)]
-    many = [("m", i, 1, None) for i in range(500)]
-    before = sample(a + b + many)
-    assert {r[:3] for r in a + b} <= before and 60 < sum(w == "m" for w, *_ in before) < 140
-    later = [("a", 5000 + i, 1, 1) for i in range(900)] + [("b", 1000 + i, 1, 5) for i in range(60)] + [("b", 5000 + i, 1, 5) for i in range(900)] + [("m", i, 1, 7) for i in range(900)]
-    assert before <= sample(a + b + many + later)
-    loads = [r for r in b + later if r[3] is not None]
-    assert sample(loads) <= sample(a + b + many + later)
-    assert stable_sample.stable_sample(spark.createDataFrame(a + later, schema), per_word=100).where("rate is null").count() == 0
-
-
-def test_sample_is_uniform(spark):
-    df = spark.range(40_000).select(F.lit("a").alias("word"), F.col("id").alias("tweet_id"), F.lit(1).alias("sentence_id"), F.lit(0).alias("load_no"))
-    got = stable_sample.stable_sample(df, per_word=2000)
-    n, low = got.agg(F.count(F.lit(1)), F.sum((F.col("tweet_id") < 20_000).cast("int"))).first()
-    assert abs(n - 2000) < 250 and abs(low - n / 2) < 150 and got.first().rate == pytest.approx(0.05, abs=1e-4)
+    rows = _contexts(4)
+    df = spark.createDataFrame(rows, CONTEXT)
+    every = _chosen(df)
+    assert every == _chosen(df.repartition(5, "sentence_id").orderBy(F.rand(1)))
+    keys = {r[:3] for r in rows if None not in r[:3]}
+    assert every < keys and 0.22 < len(every) / len(keys) < 0.28
+    for before in (lambda r: r[3] in (0, 1), lambda r: r[3] in (2, 3), lambda r: r[3] is not None, lambda r: r[3] is None, lambda r: (r[1] or 0) % 3 == 0):  # later, earlier, without a load, with one, the same loads
+        some = _chosen(spark.createDataFrame([r for r in rows if before(r)], CONTEXT))
+        assert some and some <= every
+    share = Counter(load for *_, load, _ in map(tuple, stable_sample.stable_sample(df).where("word = 'hot'").collect()))
+    assert all(100 < share[load] < 200 for load in range(4)) and 40 < share[None] < 110  # 600 keys a load, 300 without
+    assert _chosen(df.limit(0)) == set() and _chosen(df, listed=stable_sample.BUCKETS) == keys
+
+
+def test_lists_are_only_lengthened(spark):
+    rows = _contexts(2)
+    old = spark.createDataFrame(rows, CONTEXT)
+    lists = stable_sample.append_lists(old, per_word=30)
+    length = {r.word: r.buckets for r in lists.collect()}
+    small = Counter(r[0] for r in {r[:3] for r in rows if None not in r[:3]})
+    assert "hot" not in length and all(length[w] == stable_sample.BUCKETS for w, n in small.items() if n <= 30)
+    chosen = _chosen(old, lists=lists)
+    assert _chosen(old) <= chosen and {k for k in chosen if small[k[0]] <= 30} == {r[:3] for r in rows if small[r[0]] <= 30 and None not in r[:3]}
+    grown = spark.createDataFrame(_contexts(6), CONTEXT)
+    again = stable_sample.append_lists(grown, per_word=30, lists=lists)
+    longer = {r.word: r.buckets for r in again.collect()}
+    assert all(longer[w] >= n for w, n in length.items()) and chosen <= _chosen(grown, lists=again)
+    odd = spark.createDataFrame([("hot", 5), ("hot", None), (None, 99), ("w1", 1 << 30)], "word string, buckets bigint")
+    rates = {r.word: r.rate for r in stable_sample.stable_sample(old, lists=odd).collect()}
+    assert rates["hot"] == 0.25 and rates["w1"] == 1
 
 
 def test_trie_counts_against_a_counter():
