@@ -6,21 +6,26 @@ which a change of language has a price, so a foreign word, name or quotation ins
 
 The frequencies are learnt from a bounded sample of labelled documents: ``docs_per_language`` documents of each
 language, chosen by a hash of their id. Labels are noisy and documents mixed, so a first model labels the sentences
-of the sample anew and a second model is counted from those. The model is at most ``top_words`` words and
-``top_grams`` n-grams of each order a language, and therefore has a fixed size bound when it is broadcast.
+of the sample anew and a second model is counted from those. The model is of the ``top_words`` commonest words and
+``top_grams`` commonest n-grams of each order a language, and therefore has a fixed size bound when it is broadcast: these are
+parameters of the fit. All words of all documents are scored by it, whatever their length or number.
+
+A stretch whose words give too little evidence for any language the model knows (``least_evidence`` nats a word; a language sure
+of all its words gives about 7) is ``und``, undetermined, with confidence 0: another language, or no language at all.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexitide.llm.sentences import sentence_starts
 from lexitide.runtime import materialize, spread
@@ -50,6 +55,8 @@ NAMES = {
 
 ORDERS = (4, 3, 2, 1)
 SWITCH = 6.0  # price of a change of language between two sentences, in nats
+OTHER = "und"  # none of the languages
+LEAST_EVIDENCE = 0.35  # nats a word
 BACKGROUND = 0.01  # share of the all-language frequency mixed into each language's own
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 SCAN = regex.compile(r"https?://\S+|www\.\S+|[#@]+\w+|&#?\w{1,8};|([\p{L}\p{M}]+)", regex.I)
@@ -98,8 +105,9 @@ def grams(word: str, n: int) -> list[str]:
 class Model:
     """Log frequencies, one row of 17 for each word and n-gram, mixed with a background."""
 
-    def __init__(self, counts: pd.DataFrame):
+    def __init__(self, counts: pd.DataFrame, least_evidence: float = LEAST_EVIDENCE):
         """``counts``: lang, n (0 for words), gram, cnt."""
+        self.least_evidence = least_evidence
         self.ids: list[dict[str, int]] = [{} for _ in range(5)]
         rows = []
         at = {lang: k for k, lang in enumerate(LANGUAGES)}
@@ -203,8 +211,12 @@ class Model:
         for r, (lang, *members) in enumerate(runs):
             begin = starts[members[0]] if r else starts[0]
             end = starts[runs[r + 1][1]] if r + 1 < len(runs) else len(text)
-            evidence = scores[members].sum(0) * (min(2, sized[members].sum()) / sized[members].sum())
-            share = np.exp(evidence - evidence.max())
+            n_words = sized[members].sum()
+            evidence = scores[members].sum(0) / n_words
+            if evidence[lang] < self.least_evidence:
+                out.append((begin, end, OTHER, 0.0))
+                continue
+            share = np.exp((evidence - evidence.max()) * min(2, n_words))
             out.append((begin, end, LANGUAGES[lang], float(share[lang] / share.sum())))
         return out
 
@@ -225,8 +237,7 @@ def _count(sample: DataFrame, model: "Model | None") -> DataFrame:
         for lang, words in seen.items():
             counts: Counter = Counter()
             for word, times in words.items():
-                if len(word) <= 20:
-                    counts[0, word] += times
+                counts[0, word] += times
                 for order in ORDERS:
                     for gram in grams(word, order):
                         counts[order, gram] += times
@@ -237,22 +248,41 @@ def _count(sample: DataFrame, model: "Model | None") -> DataFrame:
 
 def _bounded(counts: DataFrame, top_words: int, top_grams: int) -> pd.DataFrame:
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("cnt"), "gram"))
-    kept = counts.where("cnt >= 2").withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams))
+    kept = counts.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams))
     return kept.drop("_r").toPandas()
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", docs_per_language: int = 300, top_words: int = 6000, top_grams: int = 4000) -> Model:
-    """A model from a bounded, hash-chosen sample of the labelled rows of ``df``. Without labelled rows it is empty."""
+def train(
+    df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", docs_per_language: int = 300, top_words: int = 6000, top_grams: int = 4000, least_evidence: float = LEAST_EVIDENCE
+) -> Model:
+    """A model from a bounded, hash-chosen sample of the labelled rows of ``df``. Without labelled rows it is empty, and all is undetermined."""
     coded = df.select(F.col(key).alias("k"), F.col(text).alias("text"), label_code(F.col(label)).alias("code")).where("code is not null and text is not null")
     sizes = {r["code"]: r["count"] for r in coded.groupBy("code").count().collect()}  # at most one row a language
     if not sizes:
-        return Model(pd.DataFrame({"lang": [], "n": [], "gram": [], "cnt": []}))
+        return Model(pd.DataFrame({"lang": [], "n": [], "gram": [], "cnt": []}), least_evidence)
     rates = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, docs_per_language / n))])
     lot = F.pmod(F.xxhash64(F.col("k"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = materialize(coded.where(lot < F.element_at(rates, F.col("code"))), "langsample")
     sample = spread(sample)
     first = Model(_bounded(_count(sample, None), top_words, top_grams))
-    return Model(_bounded(_count(sample, first), top_words, top_grams))
+    return Model(_bounded(_count(sample, first), top_words, top_grams), least_evidence)
+
+
+def main_language(df: DataFrame, model: Model) -> Callable[[Column], Column]:
+    """A function of a text column: the language of the longest stretch of each text in one language; null for a text without words."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(StringType())
+    def longest(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            sizes: Counter = Counter()
+            for begin, end, lang, _ in held.value.segments(text):
+                sizes[lang] += end - begin
+            out.append(max(sorted(sizes), key=sizes.get, default=None))
+        return pd.Series(out, dtype=object)
+
+    return longest.asNondeterministic()  # so the planner evaluates it once
 
 
 SEGMENT = "doc_id long, label string, n_segments int, segment_no int, start_pos int, end_pos int, lang string, confidence double"
@@ -262,7 +292,7 @@ def language_segments(df: DataFrame, key: str = "doc_id", text: str = "text", la
     """One row per segment of each document: its place, language and confidence, beside the label as a code.
 
     ``end_pos`` is exclusive; positions are code points. A document without words (null, empty, digits, links only)
-    gives one row with segment 0, no language and confidence 0. Repeated rows stay repeated; other columns of ``df``
+    gives one row with segment 0, no language and confidence 0; a stretch in none of the languages has ``und``. Repeated rows stay repeated; other columns of ``df``
     are not read.
     """
     model = model or train(df, key, text, label, **bounds)

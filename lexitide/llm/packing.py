@@ -121,11 +121,12 @@ def fill_containers(df: DataFrame, key: str = "doc_id", text: str = "text", capa
         batch = batch.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True], kind="stable")
         windows = pack(batch["n_tokens"].to_numpy(), capacity)
         name = batch["_b"].iloc[0]
-        return batch.drop(columns="_b").assign(container=[f"b{name}w{w}" for w in windows])
+        return batch.drop(columns=["_p", "_b"]).assign(container=[f"b{name}w{w}" for w in windows])
 
-    # few bytes, much work: a stated number of partitions isn't coalesced to one task
-    dealt = loose.withColumn("_b", lot).repartition(parallelism(df.sparkSession), "_b")
-    placed = dealt.groupBy("_b").applyInPandas(place, PLACED)
+    # few bytes, much work: every task gets as many batches as any other, and adaptive execution doesn't coalesce them
+    tasks = parallelism(df.sparkSession)
+    dealt = loose.withColumn("_b", lot).withColumn("_p", F.col("_b") % tasks).repartitionById(tasks, "_p")
+    placed = dealt.groupBy("_p", "_b").applyInPandas(place, PLACED)
     copy = F.row_number().over(Window.partitionBy("doc_id", "piece_no").orderBy("n_tokens"))
     alone = full.withColumn("_c", copy).select(*full.columns, F.concat_ws("p", F.concat(F.lit("d"), F.col("doc_id")), "piece_no", "_c").alias("container"))
     return placed.unionByName(alone)

@@ -89,12 +89,26 @@ SUBTREE = "prefix string, suffixes array<string>, occurrences array<long>, recor
 COLUMNS = ["prefix", "suffixes", "occurrences", "records"]
 
 
+HELD = 1_000_000  # terms or prefixes a worker holds before it hands them on; what is handed on twice is added up later
+FRAME = 5_000  # subtrees in one batch
+
+
+def _frames(root: Node) -> Iterator[pd.DataFrame]:
+    subtrees = root.subtrees()
+    while some := list(islice(subtrees, FRAME)):
+        yield pd.DataFrame([(prefix, *map(list, zip(*rows))) for prefix, rows in some], columns=COLUMNS)
+
+
 def _worker_tries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    root = Node()
+    root, held = Node(), 0
     for part in parts:
         for term, occurrences, records in zip(part["term"], part["occurrences"], part["records"]):
             root.add(term, int(occurrences), int(records))
-    yield pd.DataFrame([(prefix, *map(list, zip(*rows))) for prefix, rows in root.subtrees()], columns=COLUMNS)
+        held += len(part)
+        if held >= HELD:
+            yield from _frames(root)
+            root, held = Node(), 0
+    yield from _frames(root)
 
 
 def _prefix_sizes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,6 +119,9 @@ def _prefix_sizes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 start = (prefix + suffix[:ROUTE_DEPTH])[:ROUTE_DEPTH]
                 for k in range(len(start) + 1):
                     sizes[start[:k]] += 1
+        if len(sizes) >= HELD:
+            yield pd.DataFrame(list(sizes.items()), columns=["prefix", "terms"])
+            sizes = Counter()
     yield pd.DataFrame(list(sizes.items()), columns=["prefix", "terms"])
 
 
