@@ -1,4 +1,4 @@
-"""Token predicates and tokenisers as Column expressions (JVM-side, inside code generation).
+"""Token predicates and tokenisers as Column expressions, all JVM-side (lambdas over arrays are interpreted, the rest is generated code).
 
 Every predicate about *all* signs of a token is true of the empty token. Lengths count code points.
 """

@@ -7,16 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexitide.operators.counts import positions
 from lexitide.runtime import parallelism
 
 
-def train_vectors(sentences: DataFrame, size: int = 300, window: int = 5, min_count: int = 5, max_vocabulary: int | None = None, iterations: int = 1, seed: int = 0) -> DataFrame:
+def train_vectors(sentences: DataFrame, size: int = 300, window: int = 5, min_count: int = 5, max_vocabulary: int | None = None, iterations: int = 1, seed: int = 0, partitions: int | None = None, save: str | None = None) -> DataFrame:
     """(word, idx, count, vector) of skip-gram vectors learnt from ``sentences.tokens``; idx orders words by descending count.
 
-    With ``max_vocabulary`` the minimum count is raised until no more words than that are left.
+    With ``max_vocabulary`` the minimum count is raised until no more words than that are left. Sentences are learnt from in ``partitions``
+    tasks (by default as many as the session shuffles into); each round averages what they learnt, so more tasks want more ``iterations``.
+    With ``save`` the model is written there too.
     """
     counts = sentences.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
     if max_vocabulary:
@@ -24,13 +27,15 @@ def train_vectors(sentences: DataFrame, size: int = 300, window: int = 5, min_co
         if top["n"] > max_vocabulary:
             min_count = top["least"] + 1
             counts = counts.where(F.col("count") >= min_count)
-    parts = min(8, parallelism(sentences.sparkSession))
+    parts = partitions or parallelism(sentences.sparkSession)
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, numPartitions=parts, seed=seed, inputCol="tokens", outputCol="v").fit(sentences.where(F.size("tokens") > 0))
     from pyspark.ml.functions import vector_to_array
 
     vectors = model.getVectors().select("word", vector_to_array("vector").cast("array<float>").alias("vector"))
-    order = F.row_number().over(Window.orderBy(F.desc("count"), "word")) - 1  # the vocabulary, which the model holds whole on every node
-    return vectors.join(counts, "word").select("word", order.alias("idx"), "count", "vector")
+    if save:
+        model.write().overwrite().save(save)
+    order = positions(counts.withColumnRenamed("count", "n")).select("word", (F.col("position") - 1).cast("int").alias("idx"), F.col("n").alias("count"))
+    return vectors.join(order, "word").select("word", "idx", "count", "vector")
 
 
 def common_vocabulary(first: DataFrame, second: DataFrame, words: DataFrame | None = None) -> DataFrame:

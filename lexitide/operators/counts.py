@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexitide.runtime import materialize, parallelism
+
 
 def count_tokens(df: DataFrame, tokens: Column, *by: str) -> DataFrame:
     """(by..., word, n): an explode and one hash aggregation with map-side partial counts."""
     return df.select(*by, F.explode(tokens).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def count_kept_tokens(df: DataFrame, tokens: Column, keep: Callable[[Column], Column], *by: str) -> DataFrame:
+    """(by..., word, n) of the tokens that ``keep`` holds for, in lower case.
+
+    Tokens are counted as written first; the costly tests then see each different token once a group, and what differs only
+    in letter case is added up at the end, over these few rows.
+    """
+    raw = count_tokens(df, tokens, *by)
+    return raw.where(keep(F.col("word"))).groupBy(*by, F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+
+
 def merge_steps(timestep: Column, merged: Column, to: str = "modern") -> Column:
     """A step label in which all genres that ``merged`` names are one step."""
     return F.when(merged, F.lit(to)).otherwise(timestep)
@@ -51,18 +63,21 @@ def period_shares(counts: DataFrame, historical: Sequence[str]) -> DataFrame:
     )
 
 
-def relative_rank(counts: DataFrame, parts: int | None = None) -> DataFrame:
-    """(word, n, rel_rank): (1 + position by descending count) / vocabulary size.
+def positions(counts: DataFrame, parts: int | None = None) -> DataFrame:
+    """(word, n, position, size): each word's place from 1 by descending count, ties by name, and the number of words.
 
     A global order without a one-task window: rows are range-partitioned by the order, ranked inside each range, and offset by the sizes
     of the ranges before it (one small row a range).
     """
-    from lexitide.runtime import materialize, parallelism
-
     n = parts or parallelism(counts.sparkSession)
     ranged = counts.select("word", "n").repartitionByRange(n, F.desc("n"), "word").withColumn("_p", F.spark_partition_id())
     ranged = materialize(ranged, "ranked")  # partition numbers must not change between the two uses
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_all"))  # one row a range
+    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("size"))  # one row a range
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("n"), "word"))
-    return ranged.withColumn("_r", inside).join(F.broadcast(before), "_p").select("word", "n", ((F.col("_before") + F.col("_r")) / F.col("_all")).alias("rel_rank"))
+    return ranged.withColumn("_r", inside).join(F.broadcast(before), "_p").select("word", "n", (F.col("_before") + F.col("_r")).alias("position"), "size")
+
+
+def relative_rank(counts: DataFrame, parts: int | None = None) -> DataFrame:
+    """(word, n, rel_rank): (1 + position from 0 by descending count) / vocabulary size."""
+    return positions(counts, parts).select("word", "n", (F.col("position") / F.col("size")).alias("rel_rank"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexitide.config import MIN_COSINES
 from lexitide.functions.statistics import safe_corr
+from lexitide.runtime import materialize
 
 BLOCK_BYTES = 64 << 20  # of query vectors held by a worker at once
 
@@ -39,7 +40,7 @@ def radius_neighbours(queries: DataFrame, vocabulary: DataFrame, min_cosine: flo
     """(key, neighbour, cos) of all vocabulary words at least ``min_cosine`` from a query, the query's own word excluded.
 
     The vocabulary streams through once per block of queries and is never shuffled; a block is broadcast and has at most ``block_bytes``,
-    whatever the size of the query set. Only hits leave the workers. Unusable vectors (null, another width, not finite, all zero) take no part.
+    whatever the size of the query set; the driver holds one block at a time. Only hits leave the workers. Unusable vectors (null, another width, not finite, all zero) take no part.
     """
     spark = vocabulary.sparkSession
     empty = spark.createDataFrame([], f"{key} {dict(vocabulary.dtypes)[key]}, neighbour {dict(vocabulary.dtypes)[key]}, cos double")
@@ -71,7 +72,11 @@ def radius_neighbours(queries: DataFrame, vocabulary: DataFrame, min_cosine: flo
                     i, j = i[other], j[other]
                     yield pa.RecordBatch.from_arrays([pa.array(names[j].tolist(), batch.schema.field("k").type), pa.array(own[a : a + 4096][i].tolist(), batch.schema.field("k").type), pa.array(np.clip(cos[i, j], -1, 1))], [key, "neighbour", "cos"])
 
+        # of several blocks each is done, written and let go before the next, so one at a time is held
         hits = vocabulary.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(search, f"{key} {kind}, neighbour {kind}, cos double")
+        if blocks > 1:
+            hits = materialize(hits, "hits")
+            held.destroy()
         found = hits if number == 0 else found.unionByName(hits)
     return found
 
@@ -81,19 +86,51 @@ def ordered_neighbours(neighbours: DataFrame, key: str = "word") -> DataFrame:
     return neighbours.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cos"), "neighbour")))
 
 
-def candidate_edges(targets: DataFrame, candidates: DataFrame, max_length: int = 2, max_rank: float = 0.01, min_cosine: float = 0.4) -> DataFrame:
-    """(neologism, control): pairs close in length, in relative rank and in meaning, the cheap tests first.
+def candidate_edges(
+    targets: DataFrame, candidates: DataFrame, max_length: int = 2, max_rank: float = 0.01, min_cosine: float = 0.4, block_rows: int = 2048
+) -> DataFrame:
+    """(neologism, control): pairs close in length, in relative rank and in meaning.
 
-    Both sides have ``word``, ``rel_rank`` and ``vector``. The join is an equi-join on a band of rank, which each target enters with its two
-    neighbours; bands are as wide as the rank test, so a band holds a bounded share of the vocabulary and no nested loop is planned.
+    Both sides have ``word``, ``rel_rank`` and ``vector``. Rows meet by an equal key (band of rank, length): bands are as wide as the rank
+    test, and a target enters its own and both neighbouring bands at each length allowed. A key with many rows is split into blocks of about
+    ``block_rows`` a side, every target block with every control block, and a task compares one such pair of blocks by matrix products; no
+    pairs are listed before they pass, and no nested loop is planned. Rows without a word, rank or usable vector take no part.
     """
+    length = lambda: F.length(F.col("word").cast("string"))
     band = F.floor(F.col("rel_rank") / F.lit(max_rank)).cast("long")
-    t = targets.select(F.col("word").alias("neologism"), F.col("rel_rank").alias("_ra"), F.col("vector").alias("_va"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
-    c = candidates.select(F.col("word").alias("control"), F.col("rel_rank").alias("_rb"), F.col("vector").alias("_vb"), band.alias("_band"))
-    close = (F.abs(F.length(F.col("neologism").cast("string")) - F.length(F.col("control").cast("string"))) <= max_length) & (F.abs(F.col("_ra") - F.col("_rb")) <= max_rank)
-    joined = t.join(c, "_band").where(close & (F.col("neologism") != F.col("control")))
-    cos = F.try_divide(dot(F.col("_va"), F.col("_vb")), norm(F.col("_va")) * norm(F.col("_vb")))
-    return joined.where(cos >= min_cosine).select("neologism", "control").distinct()
+    usable = "word is not null and rel_rank is not null and vector is not null"
+    plain = lambda df: df.where(usable).select(F.col("word").alias("w"), F.col("rel_rank").alias("r"), F.col("vector").cast("array<double>").alias("v"), band.alias("b"), length().alias("l"))
+    wide = plain(targets).select("w", "r", "v", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "l")
+    wide = wide.select("w", "r", "v", "b", F.explode(F.sequence(F.col("l") - max_length, F.col("l") + max_length)).alias("l"))
+    near = plain(candidates)
+    blocks = lambda df, name: df.groupBy("b", "l").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+    sizes = blocks(wide, "ni").join(blocks(near, "nj"), ["b", "l"])  # keys both sides have
+    own = lambda n: F.pmod(F.xxhash64("w"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = wide.join(sizes, ["b", "l"]).select("b", "l", own("ni").alias("i"), each("nj").alias("j"), F.lit(True).alias("left"), "w", "r", "v")
+    right = near.join(sizes, ["b", "l"]).select("b", "l", each("ni").alias("i"), own("nj").alias("j"), F.lit(False).alias("left"), "w", "r", "v")
+    kinds = [dict(df.dtypes)["word"] for df in (targets, candidates)]
+    if kinds[0] != kinds[1]:
+        raise TypeError(f"words of two types: {kinds}")
+
+    def compare(block: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        side, rank = block.column("left").to_numpy(), block.column("r").to_numpy()
+        for width in set(block.column("v").combine_chunks().value_lengths().to_pylist()):
+            at, x = unit_rows(block.column("v"), width)
+            a, b = at[side[at]], at[~side[at]]
+            xa, xb = x[side[at]], x[~side[at]]
+            for k in range(0, len(a), 1024):
+                close = (xa[k : k + 1024] @ xb.T >= min_cosine) & (np.abs(rank[a[k : k + 1024], None] - rank[b][None, :]) <= max_rank)
+                i, j = np.nonzero(close)
+                out_a.append(a[k : k + 1024][i])
+                out_b.append(b[j])
+        words = block.column("w").combine_chunks()
+        pick = lambda rows: words.take(pa.array(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)))
+        return pa.table({"neologism": pick(out_a), "control": pick(out_b)})
+
+    found = left.unionByName(right).groupBy("b", "l", "i", "j").applyInArrow(compare, f"neologism {kinds[0]}, control {kinds[0]}")
+    return found.where("neologism <> control").distinct()
 
 
 def radii(neighbours: DataFrame, key: str = "word", min_cosines: Sequence[float] = MIN_COSINES) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOMENTS = "key string, n long, sums array<double>, squares array<double>"
+HELD = 4096  # keys whose sums a task holds (at 768 dimensions 12 KB each) before it hands them on
 
 
 def _moments(df: DataFrame, key: str | None, vector: str) -> DataFrame:
@@ -19,6 +20,14 @@ def _moments(df: DataFrame, key: str | None, vector: str) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, list] = {}
+
+        def rows_held() -> pa.RecordBatch:
+            values = list(held.values())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in held], pa.string()), pa.array([v[0] for v in values]), *[pa.array([list(v[c]) for v in values], pa.list_(pa.float64())) for c in (1, 2)]],
+                ["key", "n", "sums", "squares"],
+            )
+
         for batch in batches:
             keys, rows = batch.column("key").to_pylist(), batch.column("v")
             sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -31,11 +40,11 @@ def _moments(df: DataFrame, key: str | None, vector: str) -> DataFrame:
                 x = x[np.isfinite(x).all(1)]
                 n, s, q = held.get((name, width), (0, 0.0, 0.0))
                 held[name, width] = (n + len(x), s + x.sum(0), q + (x * x).sum(0))
+            if len(held) >= HELD:
+                yield rows_held()
+                held.clear()
         if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in held], pa.string()), pa.array([v[0] for v in held.values()]), pa.array([list(v[1]) for v in held.values()], pa.list_(pa.float64())), pa.array([list(v[2]) for v in held.values()], pa.list_(pa.float64()))],
-                ["key", "n", "sums", "squares"],
-            )
+            yield rows_held()
 
     rows = df.select((F.col(key).cast("string") if key else F.lit("all")).alias("key"), F.col(vector).alias("v")).where("v is not null and key is not null")
     return rows.mapInArrow(partial, MOMENTS).where("n > 0")
@@ -77,7 +86,7 @@ def hashing_encoder(width: int = 64) -> Callable[[], Encoder]:
             if token not in memo:
                 if len(memo) > 200_000:
                     memo.clear()
-                seed = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "little")
+                seed = int.from_bytes(hashlib.md5(str(token).encode()).digest()[:8], "little")
                 memo[token] = np.random.default_rng(seed).standard_normal(width)
             return memo[token]
 
@@ -98,21 +107,43 @@ def hashing_encoder(width: int = 64) -> Callable[[], Encoder]:
     return load
 
 
-def encode_contexts(contexts: DataFrame, load: Callable[[], Encoder] | None = None, batch: int = 512, key: str = "word") -> DataFrame:
+def arithmetic_encoder(width: int) -> Callable[[], Encoder]:
+    """A stand-in whose whole numbers any engine can repeat: from a hash of the token, its place and the dimension."""
+
+    def load() -> Encoder:
+        def encode(batch: list[list[str]]) -> list[np.ndarray]:
+            out = []
+            for tokens in batch:
+                h = np.array([int(hashlib.md5(str(t).encode()).hexdigest()[:6], 16) % 997 for t in tokens], dtype=np.int64)
+                out.append((h[:, None] * np.arange(1, width + 1) + 13 * np.arange(len(tokens))[:, None]) % 1009.0)
+            return out
+
+        return encode
+
+    return load
+
+
+def encode_contexts(
+    contexts: DataFrame, load: Callable[[], Encoder] | None = None, batch: int = 512, key: str = "word", limit: int = 512, decoder: Callable[[], Callable] | None = None
+) -> DataFrame:
     """(word, vector) of every context row (word, tokens, position): the mean of the encoded positions.
 
-    The model is loaded once per Python worker and sees batches. A row whose positions lie outside its tokens is skipped.
+    The model is loaded once per Python worker and sees batches. A row is skipped whose positions lie outside its tokens or from ``limit``
+    on, or whose tokens there, read as text (by ``decoder``, else joined by blanks), aren't the word.
     """
     loader = load or hashing_encoder()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = loader()
+        read = decoder() if decoder else lambda some: " ".join(map(str, some)).strip().lower()
         for part in parts:
             words, vectors = [], []
             for a in range(0, len(part), batch):
                 some = part.iloc[a : a + batch]
-                for word, position, x in zip(some["word"], some["position"], encode([list(t) for t in some["tokens"]])):
-                    if len(position) and 0 <= min(position) and max(position) < len(x):
+                rows = [list(t)[:limit] for t in some["tokens"]]
+                for word, position, tokens, x in zip(some["word"], some["position"], rows, encode(rows)):
+                    inside = len(position) and 0 <= min(position) and max(position) < len(x)
+                    if inside and read([tokens[k] for k in position]) == word:
                         words.append(word)
                         vectors.append(x[list(position)].mean(0).astype(np.float32))
             if words:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexitide.plans import context_queries, delivery_queries, series_queries, text_queries, vector_queries
+from lexitide.plans import context_queries, delivery_queries, io_queries, series_queries, text_queries, vector_queries
 
-MODULES = (text_queries, series_queries, context_queries, vector_queries, delivery_queries)
+MODULES = (text_queries, series_queries, context_queries, vector_queries, delivery_queries, io_queries)
 
 
 def queries() -> dict:

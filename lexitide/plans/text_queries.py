@@ -31,8 +31,7 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_counts_clean(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf, "timestep", "text")
-    kept = F.transform(F.filter(tokens.space_tokens(F.col("text"), lower=False), lambda x: tokens.keep_token(x)), F.lower)
-    return counts.count_tokens(docs, kept, "timestep")
+    return counts.count_kept_tokens(docs, tokens.space_tokens(F.col("text"), lower=False), tokens.keep_token, "timestep")
 
 
 def token_predicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +43,7 @@ def token_predicates(spark: SparkSession, sf: str) -> DataFrame:
 def control_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates for control words: clean tokens that aren't target words, with their counts."""
     docs = _documents(spark, sf, "text")
-    counted = counts.count_tokens(docs, F.filter(tokens.space_tokens(F.col("text")), tokens.control_token))
+    counted = counts.count_tokens(docs, tokens.space_tokens(F.col("text"))).where(tokens.control_token(F.col("word")))
     return counted.join(table(spark, sf, "target_words").where("word is not null").select("word"), "word", "left_anti")
 
 
@@ -59,9 +58,8 @@ def sentence_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tweet_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Filtered tweet tokens by year: tokenise, filter the token as written, lower-case, count."""
-    kept = F.transform(F.filter(tokens.tweet_tokens(F.col("text")), lambda x: tokens.keep_token(x)), F.lower)
-    return counts.count_tokens(messages(spark, sf), kept, "year")
+    """Filtered tweet tokens by year: tokenise, count, filter the token as written, lower-case, add up."""
+    return counts.count_kept_tokens(messages(spark, sf), tokens.tweet_tokens(F.col("text")), tokens.keep_token, "year")
 
 
 def html_clean(spark: SparkSession, sf: str) -> DataFrame:

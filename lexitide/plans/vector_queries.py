@@ -94,11 +94,8 @@ def matched_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def matching_check(spark: SparkSession, sf: str) -> DataFrame:
-    """What any maximum matching must show: every word at most once, every pair an edge."""
-    e = edges(spark, sf).select(F.col("neologism").cast("string").alias("neologism"), F.col("control").cast("string").alias("control"))
-    m = matched_pairs(spark, sf)
-    held = m.join(e, ["neologism", "control"], "left_semi")
-    return held.agg((F.count(F.lit(1)) - F.countDistinct("neologism")).alias("repeated_left"), (F.count(F.lit(1)) - F.countDistinct("control")).alias("repeated_right"))
+    """What any maximum matching must show: every word at most once, every pair an edge, and a vertex cover of its own size."""
+    return matching.matching_faults(edges(spark, sf))
 
 
 def dim_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +171,7 @@ ORACLE = {
     "statistics_wide": f"{_STATS} SELECT word, is_neologism, {_WIDE} FROM ps GROUP BY ALL",
     "edges": f"""WITH {_E}, k AS (SELECT *, (word * 37 % 1009 + 1) / 1009.0::DOUBLE AS rr FROM e)
 SELECT x.word AS neologism, y.word AS control FROM k x, k y WHERE x.label < 5 AND y.label >= 5 AND abs(length(x.word::VARCHAR) - length(y.word::VARCHAR)) <= 2 AND abs(x.rr - y.rr) <= 0.05 AND list_cosine_similarity(x.v, y.v) >= 0.2""",
-    "matching_check": "SELECT 0 AS repeated_left, 0 AS repeated_right",
+    "matching_check": "SELECT 0::BIGINT AS repeated_left, 0::BIGINT AS repeated_right, 0::BIGINT AS not_edges, 0::BIGINT AS uncovered_edges, 0::BIGINT AS cover_surplus",
     "dim_stats": f"WITH {_E}, c AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM e) SELECT dim, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std FROM c GROUP BY dim",
     "zscore_means": f"""WITH {_E}, c AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM e),
 t AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM c GROUP BY dim), w AS (SELECT label::VARCHAR AS word, dim, count(*) AS n, avg(x) AS x FROM c WHERE label IS NOT NULL GROUP BY ALL)

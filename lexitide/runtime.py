@@ -86,6 +86,11 @@ def _hadoop(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def has_path(spark: SparkSession, path: str) -> bool:
+    place, files = _hadoop(spark, path)
+    return files.exists(place)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a lineage cut that survives lost executors.
 

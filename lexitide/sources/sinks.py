@@ -22,7 +22,7 @@ def token_rows(df: DataFrame, path: str) -> None:
 
 
 def count_matrix(wide: DataFrame, path: str) -> None:
-    wide.write.mode("overwrite").csv(path, header=True)
+    wide.write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def tag_counts(df: DataFrame, path: str) -> None:
@@ -41,7 +41,7 @@ def index(occurrences: DataFrame, path: str) -> None:
 
 
 def sampled_ids(df: DataFrame, path: str) -> None:
-    df.select("word", "year", "tweet_id", "sentence_id").write.mode("overwrite").csv(path, sep="\t")
+    df.select("word", "year", "tweet_id", "sentence_id").write.mode("overwrite").csv(path, sep="\t", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def contexts(df: DataFrame, path: str, parts: int = 10) -> None:
@@ -54,9 +54,23 @@ def vectors(df: DataFrame, path: str) -> None:
 
 def pairs(df: DataFrame, path: str) -> None:
     """One file: pairs are as many as target words at most."""
-    df.select("neologism", "control").orderBy("neologism").coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.select("neologism", "control").orderBy("neologism").coalesce(1).write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def result_table(stats: DataFrame, min_cosines: Sequence[float] = MIN_COSINES) -> DataFrame:
+    """The wide result under the column names of result files: a word, its kind, then three numbers a radius."""
+    wide = wide_form(stats, min_cosines)
+    names = {"density": "Density", "monotonicity": "GrowthMonotonicity", "slope": "GrowthSlope"}
+    cells = [F.col(f"{s}_{round(r * 1000)}").alias(f"{title}AtRadius{r:.3f}") for r in min_cosines for s, title in names.items()]
+    return wide.select(F.col("word").alias("Word"), F.col("is_neologism").alias("IsNeologism"), *cells)
 
 
 def results(stats: DataFrame, path: str, min_cosines: Sequence[float] = MIN_COSINES) -> None:
-    """The wide result with undefined values as ``NaN``; one file, a row a target or control word."""
-    wide_form(stats, min_cosines).orderBy("is_neologism", "word").coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="NaN")
+    """The result table with undefined values as ``NaN``; one file, a row a target or control word."""
+    rows = result_table(stats, min_cosines)
+    rows.orderBy("IsNeologism", "Word").coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="NaN")
+
+
+def message_parts(messages: DataFrame, path: str, parts: int = 100) -> None:
+    """Sampled messages as JSON lines in a stated number of parts, by a hash of their number."""
+    messages.repartition(parts, "tweet_id").write.mode("overwrite").json(path)

@@ -35,6 +35,10 @@ def test_edges_at_their_limits(spark):
     rows = [("ok", 0.5, at(0.41)), ("length", 0.5, at(0.9)), ("toolongx", 0.5, at(0.9)), ("rank", 0.509, at(0.9)), ("far", 0.5101, at(0.9)), ("dark", 0.5, at(0.39)), ("zero", 0.5, [0.0, 0.0]), ("abcd", 0.5, [1.0, 0.0])]
     c = spark.createDataFrame(rows, "word string, rel_rank double, vector array<double>")
     assert {r.control for r in similarity.candidate_edges(t, c).collect()} == {"ok", "length", "rank"}
+    assert {r.control for r in similarity.candidate_edges(t, c, block_rows=2).collect()} == {"ok", "length", "rank"}
+    odd = spark.createDataFrame([(None, 0.5, [1.0, 0.0]), ("none", 0.5, None), ("hole", 0.5, [None, 1.0]), ("wide", 0.5, [1.0, 0.0, 0.0]), ("lost", None, [1.0, 0.0])], "word string, rel_rank double, vector array<double>")
+    assert {r.control for r in similarity.candidate_edges(t, c.unionByName(odd)).collect()} == {"ok", "length", "rank"}
+    assert similarity.candidate_edges(t.limit(0), c).count() == similarity.candidate_edges(t, c.limit(0)).count() == 0
     assert "NestedLoop" not in similarity.candidate_edges(t, c)._jdf.queryExecution().toString()
 
 
@@ -81,6 +85,18 @@ def test_matching_of_components(spark):
     got = matching.maximum_matching(spark.createDataFrame(rows, "neologism string, control string")).collect()
     assert len(got) == 3 and {r.control for r in got} == {"x", "y", "z"}
     assert matching.maximum_matching(spark.createDataFrame([], "neologism string, control string")).count() == 0
+    chain = spark.createDataFrame([(f"n{k:03d}", f"c{k + d:03d}") for k in range(150) for d in (0, 1)], "neologism string, control string")
+    faults = matching.matching_faults(chain).first()
+    assert set(faults) == {0} and matching.maximum_matching(chain).count() == 150  # one long component
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 7), st.integers(0, 7)), max_size=30))
+def test_covers_prove_matchings(pairs):
+    links = [(f"a{a}", f"b{b}") for a, b in pairs]
+    found = matching.hopcroft_karp(links)
+    left, right = matching.vertex_cover(links, found)
+    assert len(left) + len(right) == len(found) and all(a in left or b in right for a, b in links)
 
 
 def test_alignment_recovers_a_rotation(spark):
@@ -110,9 +126,9 @@ def test_zscores_equal_the_pooled_result(spark):
 
 
 def test_encoder_and_training(spark):
-    df = spark.createDataFrame([("a", ["x", "a"], [1]), ("a", ["a"], [4]), ("b", ["b", "b"], [0, 1])], "word string, tokens array<string>, position array<int>")
+    df = spark.createDataFrame([("a", ["x", "a"], [1]), ("a", ["a"], [4]), ("b b", ["b", "b"], [0, 1]), ("c", ["b", "c"], [0])], "word string, tokens array<string>, position array<int>")
     got = zscore.encode_contexts(df, zscore.hashing_encoder(8)).collect()
-    assert sorted(r.word for r in got) == ["a", "b"] and len(got[0].vector) == 8
+    assert sorted(r.word for r in got) == ["a", "b b"] and len(got[0].vector) == 8
     sents = spark.createDataFrame([(["u", "v", "w"],)] * 30 + [(["u", "v", "u"],), ([],)], "tokens array<string>")
     words = alignment.train_vectors(sents, size=4, min_count=2, max_vocabulary=2).orderBy("idx").collect()
     assert [r.word for r in words] == ["u", "v"] and words[0]["count"] == 32
