@@ -70,7 +70,7 @@ def test_twitter_domain(spark, corpus):
     assert {(r.timestep, r.word, r.n) for r in spark.read.parquet(p("counts")).where("word = 'alpha'").collect()} == {("2012", "alpha", 3)}
     cli.main(["contexts", "twitter", "modern", p("t.jsonl"), p("words"), p("ctx")])
     assert {(r.doc_id, r.sentence_id, r.sentence) for r in spark.read.parquet(p("ctx")).collect()} == {("1", 1, "Alpha is new."), ("1", 2, "So bravo & alpha"), ("2", 1, "delta #tag Alpha")}
-    series = [(f"{w}", str(y), 200 * (y - 2010)) for w in ("alpha", "bravo") for y in range(2011, 2016)]
+    series = [(f"{w}", str(y), 200 * (y - 2010)) for w in ("alpha", "bravo") for y in range(2011, 2022)]
     spark.createDataFrame(series, "word string, timestep string, n bigint").write.parquet(p("c"))
     cli.main(["tag-sample", p("c"), p("t.jsonl"), p("sample")])
     assert {tuple(r) for r in spark.read.parquet(p("sample")).collect()} == {("alpha", 1), ("alpha", 2), ("bravo", 1)}
