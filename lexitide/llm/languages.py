@@ -8,7 +8,8 @@ The frequencies are learnt from a bounded sample of labelled documents: ``docs_p
 language, chosen by a hash of their id. Labels are noisy and documents mixed, so a first model labels the sentences
 of the sample anew and a second model is counted from those. The model is of the ``top_words`` commonest words and
 ``top_grams`` commonest n-grams of each order a language, and therefore has a fixed size bound when it is broadcast: these are
-parameters of the fit. All words of all documents are scored by it, whatever their length or number.
+parameters of the fit, like the count and length from which a word counts as known (``least_count``, ``longest_word``). All words of
+all documents are scored by it, known or not.
 
 A stretch whose words give too little evidence for any language the model knows (``least_evidence`` nats a word; a language sure
 of all its words gives about 7) is ``und``, undetermined, with confidence 0: another language, or no language at all.
@@ -221,7 +222,7 @@ class Model:
         return out
 
 
-def _count(sample: DataFrame, model: "Model | None") -> DataFrame:
+def _count(sample: DataFrame, model: "Model | None", longest_word: int) -> DataFrame:
     """(lang, n, gram, cnt) over the sample, by its labels or, given a model, by the model's sentence languages."""
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,7 +238,8 @@ def _count(sample: DataFrame, model: "Model | None") -> DataFrame:
         for lang, words in seen.items():
             counts: Counter = Counter()
             for word, times in words.items():
-                counts[0, word] += times
+                if len(word) <= longest_word:
+                    counts[0, word] += times
                 for order in ORDERS:
                     for gram in grams(word, order):
                         counts[order, gram] += times
@@ -246,16 +248,21 @@ def _count(sample: DataFrame, model: "Model | None") -> DataFrame:
     return sample.mapInPandas(partial, "lang string, n int, gram string, cnt long").groupBy("lang", "n", "gram").agg(F.sum("cnt").alias("cnt"))
 
 
-def _bounded(counts: DataFrame, top_words: int, top_grams: int) -> pd.DataFrame:
+def _bounded(counts: DataFrame, top_words: int, top_grams: int, least_count: int) -> pd.DataFrame:
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("cnt"), "gram"))
-    kept = counts.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams))
+    kept = counts.where(F.col("cnt") >= least_count).withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams))
     return kept.drop("_r").toPandas()
 
 
 def train(
-    df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", docs_per_language: int = 300, top_words: int = 6000, top_grams: int = 4000, least_evidence: float = LEAST_EVIDENCE
-) -> Model:
-    """A model from a bounded, hash-chosen sample of the labelled rows of ``df``. Without labelled rows it is empty, and all is undetermined."""
+    df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", docs_per_language: int = 300, top_words: int = 6000, top_grams: int = 4000, least_evidence: float = LEAST_EVIDENCE,
+    least_count: int = 2, longest_word: int = 20,
+) -> Model:
+    """A model from a bounded, hash-chosen sample of the labelled rows of ``df``. Without labelled rows it is empty, and all is undetermined.
+
+    A word seen fewer than ``least_count`` times in the sample, or longer than ``longest_word`` signs (a run without blanks, in some
+    scripts), isn't taken for a known word: it says too little of its language by itself, and is scored by its n-grams.
+    """
     coded = df.select(F.col(key).alias("k"), F.col(text).alias("text"), label_code(F.col(label)).alias("code")).where("code is not null and text is not null")
     sizes = {r["code"]: r["count"] for r in coded.groupBy("code").count().collect()}  # at most one row a language
     if not sizes:
@@ -264,8 +271,8 @@ def train(
     lot = F.pmod(F.xxhash64(F.col("k"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = materialize(coded.where(lot < F.element_at(rates, F.col("code"))), "langsample")
     sample = spread(sample)
-    first = Model(_bounded(_count(sample, None), top_words, top_grams))
-    return Model(_bounded(_count(sample, first), top_words, top_grams), least_evidence)
+    fit = lambda model: _bounded(_count(sample, model, longest_word), top_words, top_grams, least_count)
+    return Model(fit(Model(fit(None))), least_evidence)
 
 
 def main_language(df: DataFrame, model: Model) -> Callable[[Column], Column]:

@@ -97,6 +97,20 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_shares(mixing.mix(table(spark, sf, "documents"), targets), targets)
 
 
+def p8_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What SQL can say of any mixture at its default size: every source that has documents meets its share, none is used too often."""
+    documents, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    shares = mixing.mix_shares(mixing.mix(documents, targets), targets)
+    name = mixing.source_name(F.col("source"))
+    there = documents.where(F.octet_length("text") > 0).select(name.alias("source")).distinct().withColumn("has", F.lit(True))
+    caps = targets.select(name.alias("source"), F.coalesce("max_repeats", F.lit(1)).alias("m")).groupBy("source").agg(F.max("m").alias("m"))
+    rows = shares.join(there, "source", "left").join(caps, "source")
+    wanted = F.when(F.col("has") & (F.col("target_share") > 0), F.col("target_share"))
+    whole = rows.agg(F.sum(wanted)).first()[0]  # of a row a source
+    met = F.coalesce(F.abs(F.col("share") - wanted / F.lit(whole)) < 0.01, F.lit(False))
+    return rows.select("source", "target_share", met.alias("met"), (F.col("most_copies") <= F.col("m")).alias("within_cap"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     found = languages.language_segments(table(spark, sf, "documents"))
     case = (F.col("n_segments") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang"))
@@ -104,7 +118,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_sample, p1_kept, p2_found, p3_found, p3_classes, p4_found, p6_found, p6_frequencies, p7_found, p7_report, p7_room, p8_mixture, p8_shares, p9_found)
+    made = (p1_sample, p1_kept, p2_found, p3_found, p3_classes, p4_found, p6_found, p6_frequencies, p7_found, p7_report, p7_room, p8_mixture, p8_shares, p8_checked, p9_found)
     return {f.__name__: f for f in made}
 
 
@@ -136,5 +150,9 @@ SELECT DISTINCT least(a, b) AS word_a, greatest(a, b) AS word_b FROM best WHERE
         "p6_found": _TERMS + "SELECT term AS word, mark FROM marked WHERE mark IS NOT NULL",
         "p6_frequencies": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
         "p7_room": "SELECT sum(coalesce(strlen(text), 0))::BIGINT AS tokens, false AS overfull, 0::BIGINT AS divided_in_vain, true AS well_filled FROM documents",
+        "p8_checked": r"""
+WITH t AS (SELECT regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') AS source, sum(coalesce(target_weight, 0)) AS w FROM mix_targets GROUP BY 1),
+d AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') AS source FROM documents WHERE strlen(text) > 0)
+SELECT source, round(w / sum(w) OVER (), 6) AS target_share, w > 0 AND source IN (SELECT source FROM d WHERE source IS NOT NULL) AS met, true AS within_cap FROM t QUALIFY source IS NOT NULL""",
         "p7_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4096",
     }
