@@ -1,8 +1,8 @@
 """Problem 4: sentence boundaries by cascading segmentation rule tables.
 
 A rule is a pair of regular expressions, one for what stands before a position and one for what follows, and says
-break or no break. At each candidate position the tables of line breaks and of blanks between Thai words come first, then
-those of the text's language, of its script, and the common ones, and the first rule that matches decides; where none
+break or no break. At an end mark the tables of the text's language come first, then those of its script and the common
+ones, at a blank that of line breaks and of blanks between Thai words; the first rule that matches decides, and where none
 matches there is no break. Candidates are end marks (with closing quotes and brackets), line breaks, and blanks after Thai.
 A table of spans (links, quotations, brackets) names stretches that no end mark inside breaks. Tables are chosen by script
 and, where languages share one, by frequent words and letter n-grams; languages that come close lend their abbreviations.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -89,6 +90,8 @@ SCRIPTS = {
 # -----------------------------------------------------------------------------------------------------------------
 
 LATIN, CYRILLIC = ("en", "es", "pt", "fr", "it", "de", "nl", "tr"), ("ru", "uk")
+WEIGHT = 2520  # of a letter group, shared among its languages; a word has eight times as much
+ENOUGH = 5 * 8 * WEIGHT  # of words alone: as much as five of one language
 CLOSE = 0.5  # share of the best language's evidence from which another one lends its abbreviations
 LINE = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LINE_SIGNS = frozenset("\n\r\x0b\x0c\x85\u2028\u2029") | {"\r\n"}
@@ -133,10 +136,12 @@ def lent(lang: str) -> list[Rule]:
     return rules + ([Rule(False, r"(?<![\p{L}\p{N}.,])\d{1,2}\.", r" +\p{L}")] if lang == "de" else [])
 
 
+BLANKS = [Rule(True, rf"{LINE}\s*", r""), Rule(True, r"\p{Thai}\S* +", r"")]  # the table of line breaks and of blanks, for all languages
+
+
 def tables(lang: str, cased: bool) -> tuple[list[Rule], list[Rule]]:
-    """The cascade for one language: lines and Thai blanks and its own table; the tables of its script and the common one."""
+    """The cascade for one language at end marks: its own table; the tables of its script and the common one."""
     upper = r"\p{Lu}\p{Lt}"
-    always = [Rule(True, rf"{LINE}\s*", r""), Rule(True, r"\p{Thai}\S* +", r"")]
     own = []
     if lang == "de":
         own.append(Rule(False, r"(?<![\p{L}\p{N}.,])\d{1,2}\.", r" +\p{L}"))
@@ -166,7 +171,7 @@ def tables(lang: str, cased: bool) -> tuple[list[Rule], list[Rule]]:
         Rule(True, rf"[!?…‥]{CLOSERS}", r"\p{Lo}") if lang in ("zh", "ja", "th") else Rule(True, rf"[\p{{L}}\p{{M}}\p{{N}}\"”»)][!?]+{CLOSERS}", r"[\p{L}\"“«„¿¡]"),
         Rule(True, rf"\p{{L}}\p{{M}}*\p{{L}}\p{{M}}*[.…]+{CLOSERS}", r"\p{Lu}(?:\p{Ll}|\s)" if cased else r"\p{L}{3}"),
     ]
-    return always + own, script + common
+    return own, script + common
 
 
 Compiled = list[tuple[bool, regex.Pattern, regex.Pattern]]
@@ -187,15 +192,20 @@ def _compiled_lent(lang: str) -> Compiled:
     return _compile(lent(lang))
 
 
+@lru_cache(maxsize=1)
+def compiled_blanks() -> Compiled:
+    return _compile(BLANKS)
+
+
 @lru_cache(maxsize=4096)
 def compiled(lang: str, close: tuple[str, ...], cased: bool) -> Compiled:
-    """The cascade of a text: lines and its language, close languages, script and common rules."""
+    """The cascade of a text at end marks: its language, close languages, script and common rules."""
     first, last = _compiled_parts(lang, cased)
     return first + [rule for one in close for rule in _compiled_lent(one)] + last
 
 
 @lru_cache(maxsize=1)
-def _evidence() -> tuple[dict[str, list[str]], dict[str, list[str]], regex.Pattern]:
+def _evidence() -> tuple[dict[str, list[str]], dict[str, list[str]], re.Pattern]:
     """Frequent words and letter groups (longest first in the pattern) with the languages they speak for."""
     words: dict[str, list[str]] = {}
     groups: dict[str, list[str]] = {}
@@ -203,7 +213,7 @@ def _evidence() -> tuple[dict[str, list[str]], dict[str, list[str]], regex.Patte
         for lang, names in source.items():
             for name in names.split():
                 by.setdefault(transducer()(name), []).append(lang)
-    return words, groups, regex.compile("|".join(sorted(map(regex.escape, groups), key=lambda x: (-len(x), x))))
+    return words, groups, re.compile("|".join(sorted(map(re.escape, groups), key=lambda x: (-len(x), x))))
 
 
 _SCRIPT_OF = [(lang, regex.compile(p)) for lang, p in SCRIPTS.items()]
@@ -211,35 +221,42 @@ _NOT_LATIN = re.compile("[\u0370-\u1dff\u3040-\ud7ff]")
 _LETTER, _GREEK, _CYRILLIC = regex.compile(r"\p{L}"), regex.compile(r"\p{Greek}"), regex.compile(r"\p{Cyrillic}")
 _LOWER = regex.compile(r"\p{Ll}")
 _NAMES = regex.compile(rf"{URL.pattern}|[#@]\w+", regex.I)
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
-
-
-def guess_tables(text: str, shadow: str) -> tuple[str, tuple[str, ...]]:
-    """The language whose tables are used, by script, then by frequent words and letter groups; and those that come close to it."""
-    letters, cyrillic = 0, False
-    if not text.isascii() and _NOT_LATIN.search(text):
-        counts = {lang: len(p.findall(text)) for lang, p in _SCRIPT_OF}
-        lang, most = max(counts.items(), key=lambda x: x[1])
-        letters = len(_LETTER.findall(text))
-        if counts["ja"] * 8 > counts["zh"] > 0 or most == counts["ja"] > 0:
-            lang, most = "ja", counts["ja"] + counts["zh"]
-        if most * 3 > letters:
-            return lang, ()
-        if len(_GREEK.findall(text)) * 3 > letters:
-            return "el", ()
-        cyrillic = len(_CYRILLIC.findall(text)) * 3 > letters
+_WORD = re.compile(r"\w+")
+
+
+def guess_script(text: str) -> tuple[str | None, tuple[str, ...]]:
+    """The language whose tables are used where the script tells it, else None; and the languages of the script."""
+    if text.isascii() or not _NOT_LATIN.search(text):
+        return None, LATIN
+    counts = {lang: len(p.findall(text)) for lang, p in _SCRIPT_OF}
+    lang, most = max(counts.items(), key=lambda x: x[1])
+    letters = len(_LETTER.findall(text))
+    if counts["ja"] * 8 > counts["zh"] > 0 or most == counts["ja"] > 0:
+        lang, most = "ja", counts["ja"] + counts["zh"]
+    if most * 3 > letters:
+        return lang, ()
+    if len(_GREEK.findall(text)) * 3 > letters:
+        return "el", ()
+    return None, CYRILLIC if len(_CYRILLIC.findall(text)) * 3 > letters else LATIN
+
+
+def guess_alphabet(shadow: str, languages: tuple[str, ...]) -> tuple[str, tuple[str, ...]]:
+    """Of languages that share a script, the one that frequent words and letter groups speak for; and those that come close to it."""
     words, groups, pattern = _evidence()
-    lower, score = shadow.lower(), dict.fromkeys(CYRILLIC if cyrillic else LATIN, 0.0)
-    for word in _WORD.findall(lower):
-        for lang in words.get(word, ()):
-            if lang in score:
-                score[lang] += 2 / len(words[word])
-    for group in pattern.findall(lower):
-        for lang in groups[group]:
-            if lang in score:
-                score[lang] += 0.25 / len(groups[group])
-    best = max(score, key=score.get)
-    return best, tuple(lang for lang in score if lang != best and score[lang] >= CLOSE * score[best])
+    lower, score = shadow.lower(), dict.fromkeys(languages, 0)
+
+    def add(weight: int, known: dict[str, list[str]], found: Counter) -> tuple[str, tuple[str, ...]]:
+        for name in known.keys() & found.keys():
+            for lang in known[name]:
+                if lang in score:
+                    score[lang] += weight // len(known[name]) * found[name]  # whole numbers, so the order of sums is no matter
+        best = max(score, key=score.get)
+        return best, tuple(lang for lang in score if lang != best and score[lang] >= CLOSE * score[best])
+
+    best, close = add(8 * WEIGHT, words, Counter(_WORD.findall(lower)))
+    if close or score[best] < ENOUGH:  # words leave a doubt
+        best, close = add(WEIGHT, groups, Counter(pattern.findall(lower)))
+    return best, close
 
 
 _PLAIN_CONTROLS = str.maketrans("\n\t\r", "   ")
@@ -290,42 +307,47 @@ def sentence_starts(text: str | None) -> list[int]:
         first += 1
     if first == n:
         return []
-    lang, close = guess_tables(text, shadow)
+    lang, languages = guess_script(text)
     safe = [m.span() for m in URL.finditer(shadow)] if _MAY_URL.search(shadow) else []
     cased = bool(_CAPITAL.search(shadow)) or not _LOWER.search(_NAMES.sub(" ", shadow))
-    rules = compiled(lang, close, cased)
+    rules = compiled(lang or languages[0], (), cased)  # languages of one script differ in rules for full stops alone
     quotes = [m.span() for m in QUOTES.finditer(shadow)] if _MAY_QUOTE.search(shadow) else []
     safe_from, quote_from = [a for a, _ in safe], [a for a, _ in quotes]
     starts, at = [first], first
     for m in (THAI_MARKS if not shadow.isascii() and THAI.search(shadow) else MARKS).finditer(shadow):
-        pos = m.end()
+        mark, pos = m.span()
         if pos <= at:
             continue
-        nxt = pos
-        if m["line"] is None:
-            k = bisect_right(safe_from, m.start()) - 1
-            if k >= 0 and m.start() < safe[k][1] and (m["end"] is None or pos < safe[k][1]):
+        nxt, kind = pos, m.lastgroup
+        if kind != "line":
+            k = bisect_right(safe_from, mark) - 1 if safe else -1
+            if k >= 0 and mark < safe[k][1] and (kind == "thai" or pos < safe[k][1]):
                 continue
-            k = bisect_right(quote_from, m.start()) - 1
-            if k >= 0 and m.start() < quotes[k][1] and pos <= quotes[k][1]:
+            k = bisect_right(quote_from, mark) - 1 if quotes else -1
+            if k >= 0 and mark < quotes[k][1] and pos <= quotes[k][1]:
                 close = quotes[k][1]
-                if m["thai"] is not None or shadow[quotes[k][0]] in "([" or shadow[pos : close - 1].strip():
+                if kind == "thai" or shadow[quotes[k][0]] in "([" or shadow[pos : close - 1].strip():
                     continue
                 pos = nxt = close
-            if tail := TAIL.match(shadow, pos if m["thai"] is None else m.start()):
+            if tail := TAIL.match(shadow, mark if kind == "thai" else pos):
                 nxt = tail.end()
-        for breaks, before, after in rules:
+        begin = nxt
+        while begin < n and shadow[begin].isspace():
+            begin += 1
+        if begin >= n:
+            break  # only tags, links and emoji are left, if anything
+        if lang is None and "." in m[0]:
+            lang, close = guess_alphabet(shadow, languages)
+            rules = compiled(lang, close, cased)
+        for breaks, before, after in rules if kind == "end" else compiled_blanks():
             if before.match(shadow, pos) and after.match(shadow, nxt):
                 break
         else:
             continue
         if not breaks:
             continue
-        while nxt < n and shadow[nxt].isspace():
-            nxt += 1
-        if nxt >= n:
-            break
-        if m["line"] and (only := TAIL.match(shadow, nxt)) and not shadow[only.end() :].strip():
+        nxt = begin
+        if kind == "line" and (only := TAIL.match(shadow, nxt)) and not shadow[only.end() :].strip():
             break  # nothing but tags, links and emoji: they belong to the sentence before
         if nxt > at:
             starts.append(nxt)

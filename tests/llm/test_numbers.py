@@ -141,6 +141,28 @@ def test_mixture_meets_its_shares(spark):
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
 
 
+def test_mixture_meets_languages_and_topics(spark):
+    """Marginals of languages, found in the texts whatever the labels, and topics are met where they can be; too many cells are an error."""
+    from test_text import LINES
+
+    rng, rows = random.Random(3), []
+    for k in range(3000):
+        lang = rng.choice(["en", "de", "ru"])
+        rows.append((k, " ".join([LINES[lang]] * rng.randrange(1, 6)), rng.choice(["a", "b"]), lang if k % 3 else rng.choice(["en", None]), rng.choice(["1810s", "2010"]), 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("a", 1.0, 2), ("b", 1.0, 2)], TARGETS)
+    true = {r[0]: next(x for x in LINES if LINES[x] in r[1]) for r in rows}
+    used, topic, total = Counter(), Counter(), 0
+    for r in mixing.mix(docs, targets, total_tokens=200_000, language_targets={"en": 3.0, "de": 1.0, "ru": None, "xx": 9.0}, topic_targets={"from_1800": 0.75, "tweets": 0.25}).collect():
+        used[true[r.doc_id]] += r.n_tokens * r.copies
+        topic[rows[r.doc_id][4]] += r.n_tokens * r.copies
+        total += r.n_tokens * r.copies
+    assert total == pytest.approx(200_000, rel=0.02) and used["ru"] == 0
+    assert used["en"] / total == pytest.approx(0.75, abs=0.02) and topic["1810s"] / total == pytest.approx(0.75, abs=0.02)
+    with pytest.raises(ValueError, match="cells"):
+        mixing.mix(docs, targets, most_cells=3)
+
+
 def _planted(n, seed=1, width=96):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, width))

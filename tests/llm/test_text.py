@@ -193,6 +193,7 @@ def test_language_segments(spark):
         (mixed, f"{LINES['en'].capitalize()}. {LINES['de'].capitalize()}.\n{LINES['th']}", "en", 0),
         (quoted, f"The old “{' '.join(LINES['ru'].split()[:3])}” river and the garden were quiet. She came to the house with the letter.", "en", 0),
         (none, "12 — 😂 http://x.example/a", "en", 0), (none + 1, "", None, 0), (none + 2, None, None, 0), (none + 3, "the river " * 30_000, None, 0), (0, rows[0][1], rows[0][2], 0),
+        (none + 4, "ყველა ადამიანი იბადება თავისუფალი და თანასწორი", "en", 0), (none + 5, f"{LINES['en'].capitalize()}. כל בני האדם נולדו בני חורין ושווים.", "en", 0),
     ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_segments int")
     got = languages.language_segments(df)
@@ -203,6 +204,8 @@ def test_language_segments(spark):
     assert [s[1] for s in sorted(by[mixed])] == ["en", "de", "th"] and [s[1] for s in by[quoted]] == ["en"]
     for i in (none, none + 1, none + 2):
         assert [s[:2] for s in by[i]] == [(0, None)]
+    assert [(s[1], s[4]) for s in by[none + 4]] == [("und", 0.0)]  # none of the languages
+    assert [s[1] for s in sorted(by[none + 5])][0] == "en"
     assert by[none + 3][0][1] == "en" and len(by[0]) == 2
     assert all(0 <= s[4] <= 1 for rows_ in by.values() for s in rows_)
     first = sorted(by[mixed])
