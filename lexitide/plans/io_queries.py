@@ -37,11 +37,11 @@ def _flat(c: str) -> Column:
 
 
 def read_token_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of the documents as Parquet by time step; only the asked step's files are read."""
+    """Tokens of the documents as Parquet by time step, the steps read from the folders' names."""
     docs = table(spark, sf, "documents").where("timestep is not null").select("timestep", F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("sentence_id"), tokens.space_tokens(F.col("text")).alias("tokens"))
     path = _place(spark, "tokens")
     sinks.token_table(docs, path)
-    return readers.split_sentences(spark.read.parquet(path), ["modern"]).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    return spark.read.schema("doc_id string, sentence_id int, tokens array<string>, timestep string").parquet(path).select("timestep", "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 def read_token_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,17 +71,17 @@ def read_decade_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as decade files (three lines, texts between NULs in the third), a file a document."""
     path = _place(spark, "decades")
     body = F.concat(F.lit("@@"), F.col("doc_id").cast("string"), F.lit("\n\n"), F.regexp_replace("text", r"[\n\r]", " "), F.lit("\u0000second"))
-    table(spark, sf, "documents").where("timestep = '1810s'").select("doc_id", body.alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").partitionBy("doc_id").text(path)
+    table(spark, sf, "documents").select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return readers.decade_texts(spark, path).groupBy("text_no").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("signs"))
 
 
 def read_genre_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of the modern step as one genre file: a header line, then a line a text with its id token first."""
+    """Documents as genre files, one a part: a header line, then a line a text with its id token first."""
     path = _place(spark, "genre")
-    docs = table(spark, sf, "documents").where("timestep = 'modern'")
-    lines = docs.select(F.lit(1).alias("k"), F.concat(F.lit("##"), F.col("doc_id").cast("string"), F.lit(" "), F.trim(_flat("text"))).alias("value"))
-    head = spark.range(1).select(F.lit(0).alias("k"), F.lit("header").alias("value"))
-    lines.unionByName(head).orderBy("k").coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    lines = table(spark, sf, "documents").select(F.spark_partition_id().alias("p"), F.concat(F.lit("##"), F.col("doc_id").cast("string"), F.lit(" "), F.trim(_flat("text"))).alias("value"))
+    lines = materialize(lines, "lines")  # partition numbers must not change between the two uses
+    heads = lines.select("p", F.lit("").alias("value")).distinct()  # an empty line sorts first
+    lines.unionByName(heads).repartition("p").sortWithinPartitions("p", F.col("value") != "").write.partitionBy("p").text(path)
     return readers.genre_texts(spark, path).groupBy(F.trim("text").alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,10 +115,10 @@ def read_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Occurrences by year as Parquet, one directory a year; one year is read."""
+    """Occurrences by year as Parquet, one directory a year."""
     path = _place(spark, "index")
     sinks.index(word_occurrences(spark, sf).where("year is not null"), path)
-    return spark.read.parquet(path).where("year = 2012").select("word", "tweet_id")
+    return spark.read.parquet(path).select("year", "word", "tweet_id")
 
 
 def read_sampled_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,18 +212,18 @@ _TOK = _toks("lower(replace(text, 'İ', 'i' || chr(775)))")
 _FTOK = _toks(f"lower(replace({_FLAT('text')}, 'İ', 'i' || chr(775)))")
 _SPAN = """list_filter(range(0, len(h)), lambda i: h[i + 1] = d[1])[1]"""
 ORACLE = {
-    "read_token_table": f"SELECT doc_id::VARCHAR AS doc_id, len({_TOK}) AS n_tokens, array_to_string({_TOK}, ' ') AS tokens FROM documents WHERE timestep = 'modern'",
+    "read_token_table": f"SELECT timestep, doc_id::VARCHAR AS doc_id, len({_TOK}) AS n_tokens, array_to_string({_TOK}, ' ') AS tokens FROM documents WHERE timestep IS NOT NULL",
     "read_token_rows": f"SELECT doc_id::VARCHAR AS doc_id, 1 AS sentence_id, len({_FTOK}) AS n_tokens, array_to_string({_FTOK}, ' ') AS tokens FROM documents WHERE len({_FTOK}) > 0",
     "read_messages": """SELECT try_cast(regexp_replace(id, '^\\s+|\\s+$', '', 'g') AS BIGINT) AS tweet_id, coalesce(full_text, text) AS text FROM tweets
 WHERE regexp_full_match(regexp_replace(id, '^\\s+|\\s+$', '', 'g'), '[+-]?[0-9]+') AND coalesce(full_text, text) IS NOT NULL""",
     "read_sampled_messages": f"WITH {MESSAGES}, {_SAMPLE} SELECT tweet_id, text FROM m WHERE tweet_id IN (SELECT tweet_id FROM p)",
-    "read_index": f"WITH {_OCC} SELECT word, tweet_id FROM o WHERE year = 2012",
+    "read_index": f"WITH {_OCC} SELECT year, word, tweet_id FROM o WHERE year IS NOT NULL",
     "read_sampled_ids": f"WITH {_SAMPLE} SELECT word, 2012 AS year, tweet_id, sentence_id FROM p",
     "tag_sample": f"WITH {_OCC}, w AS (SELECT DISTINCT word, tweet_id FROM o) SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY word ORDER BY md5('1234|' || word || '|' || tweet_id), tweet_id) <= 100",
     "trained_model": f"""WITH c AS (SELECT word, count(*) AS n FROM (SELECT unnest({_TOK}) AS word FROM documents) GROUP BY word HAVING count(*) >= 5)
 SELECT word, (row_number() OVER (ORDER BY n DESC, word) - 1)::INT AS idx, n AS "count" FROM c""",
-    "read_decade_texts": "SELECT k AS text_no, count(*) AS texts, sum(length(t))::BIGINT AS signs FROM (SELECT unnest([0, 1]) AS k, unnest([regexp_replace(text, '[\\n\\r]', ' ', 'g'), 'second']) AS t FROM documents WHERE timestep = '1810s') GROUP BY k",
-    "read_genre_texts": f"SELECT trim({_FLAT('text')}, ' ') AS text, count(*) AS n FROM documents WHERE timestep = 'modern' GROUP BY ALL",
+    "read_decade_texts": "SELECT k AS text_no, count(*) AS texts, sum(length(t))::BIGINT AS signs FROM (SELECT unnest([0, 1]) AS k, unnest([regexp_replace(text, '[\\n\\r]', ' ', 'g'), 'second']) AS t FROM documents) GROUP BY k",
+    "read_genre_texts": f"SELECT trim({_FLAT('text')}, ' ') AS text, count(*) AS n FROM documents GROUP BY ALL",
     "read_count_matrix": series_queries.ORACLE["count_matrix"],
     "read_tag_counts": series_queries.ORACLE["tag_counts"].replace("SELECT * FROM t", "SELECT word, tag, n, row_number() OVER (PARTITION BY word ORDER BY first_seen, tag, n) - 1 AS place FROM t"),
     "read_word_list": "SELECT trim(word) AS word FROM target_words WHERE trim(word) <> ''",

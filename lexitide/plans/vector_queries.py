@@ -83,6 +83,18 @@ def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return summary.bootstrap_intervals(statistics_long(spark, sf))
 
 
+def bootstrap_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What SQL can say of the intervals: their means, and that these lie inside."""
+    found = summary.bootstrap_intervals(statistics_long(spark, sf))
+    return found.select("is_neologism", "min_cos", "statistic", F.round("mean", 9).alias("mean"), F.col("mean").between(F.col("low") - 1e-12, F.col("high") + 1e-12).alias("inside"))
+
+
+def contextual_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours in the old space of words that ask with their new vectors (here: the old ones reversed)."""
+    new = asked(spark, sf).withColumn("vector", F.reverse("vector"))
+    return similarity.radius_neighbours(new, words(spark, sf), min(MIN_COSINES)).select("word", "neighbour", F.round("cos", 6).alias("cos"))
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate pairs of emerging words asked for and controls."""
     ranked = words(spark, sf).withColumn("rel_rank", (F.col("word") * 37 % 1009 + 1) / 1009.0)
@@ -155,7 +167,7 @@ st AS (SELECT q.*, g.slope, g.monotonicity FROM q LEFT JOIN g ON g.word = q.word
 ps AS (SELECT neologism, control, word, is_neologism, min_cos, density, CASE WHEN ok THEN slope END AS slope, CASE WHEN ok THEN monotonicity END AS monotonicity FROM st)"""
 _STATS = f"WITH {_NEAR}, {_R}, {_SER}, {_DENS}, {_GROW}, {_PAIRS}"
 _ALL = (
-    neighbours, density, neighbour_growth, pair_statistics, group_summary, statistics_long, statistics_wide, bootstrap_intervals, edges, matched_pairs, matching_check,
+    neighbours, density, neighbour_growth, pair_statistics, group_summary, statistics_long, statistics_wide, bootstrap_intervals, bootstrap_check, contextual_neighbours, edges, matched_pairs, matching_check,
     dim_stats, zscore_means, procrustes_cross, procrustes_aligned, common_vocabulary, word2vec_vectors,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -169,6 +181,8 @@ ORACLE = {
     "group_summary": f"{_STATS} SELECT is_neologism, min_cos, {_SUM} FROM ps GROUP BY ALL",
     "statistics_long": f"{_STATS} SELECT word, is_neologism, min_cos, u.statistic, u.value FROM (SELECT word, is_neologism, min_cos, unnest([{{'statistic': 'density', 'value': density}}, {{'statistic': 'slope', 'value': slope}}, {{'statistic': 'monotonicity', 'value': monotonicity}}]) AS u FROM ps) WHERE u.value IS NOT NULL",
     "statistics_wide": f"{_STATS} SELECT word, is_neologism, {_WIDE} FROM ps GROUP BY ALL",
+    "bootstrap_check": f"{_STATS} SELECT is_neologism, min_cos, u.statistic, round(avg(u.value), 9) AS mean, true AS inside FROM (SELECT is_neologism, min_cos, unnest([{{'statistic': 'density', 'value': density}}, {{'statistic': 'slope', 'value': slope}}, {{'statistic': 'monotonicity', 'value': monotonicity}}]) AS u FROM ps) WHERE u.value IS NOT NULL GROUP BY ALL",
+    "contextual_neighbours": f"WITH {_E}, a AS (SELECT word, list_reverse(v) AS v FROM e WHERE word % 20 = 0) SELECT a.word, e.word AS neighbour, round(list_cosine_similarity(a.v, e.v), 6) AS cos FROM a, e WHERE a.word <> e.word AND list_cosine_similarity(a.v, e.v) >= 0.35",
     "edges": f"""WITH {_E}, k AS (SELECT *, (word * 37 % 1009 + 1) / 1009.0::DOUBLE AS rr FROM e)
 SELECT x.word AS neologism, y.word AS control FROM k x, k y WHERE x.label < 5 AND y.label >= 5 AND abs(length(x.word::VARCHAR) - length(y.word::VARCHAR)) <= 2 AND abs(x.rr - y.rr) <= 0.05 AND list_cosine_similarity(x.v, y.v) >= 0.2""",
     "matching_check": "SELECT 0::BIGINT AS repeated_left, 0::BIGINT AS repeated_right, 0::BIGINT AS not_edges, 0::BIGINT AS uncovered_edges, 0::BIGINT AS cover_surplus",
