@@ -18,6 +18,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 from typing import NamedTuple
 
 import pandas as pd
@@ -174,11 +175,20 @@ def tables(lang: str, cased: bool) -> tuple[list[Rule], list[Rule]]:
     return own, script + common
 
 
-Compiled = list[tuple[bool, regex.Pattern, regex.Pattern]]
+Compiled = list[tuple[bool, regex.Pattern, list[tuple[regex.Pattern, regex.Pattern]]]]
 
 
 def _compile(rules: list[Rule]) -> Compiled:
-    return [(r.breaks, regex.compile(f"(?<={r.before})"), regex.compile(r.after)) for r in rules]
+    """Runs of rules that say the same: one expression for all of a run where nothing stands between its two sides, and the rules one by one."""
+    runs = [(breaks, list(run)) for breaks, run in groupby(rules, key=lambda r: r.breaks)]
+    joint = lambda run: regex.compile("|".join(f"(?<={r.before})(?={r.after})" for r in run))
+    return [(breaks, joint(run), [(regex.compile(f"(?<={r.before})"), regex.compile(r.after)) for r in run]) for breaks, run in runs]
+
+
+def _matches(joint: regex.Pattern, single: list[tuple[regex.Pattern, regex.Pattern]], text: str, pos: int, nxt: int) -> bool:
+    if pos == nxt:
+        return joint.match(text, pos) is not None
+    return any(before.match(text, pos) and after.match(text, nxt) for before, after in single)
 
 
 @lru_cache(maxsize=64)
@@ -339,8 +349,8 @@ def sentence_starts(text: str | None) -> list[int]:
         if lang is None and "." in m[0]:
             lang, close = guess_alphabet(shadow, languages)
             rules = compiled(lang, close, cased)
-        for breaks, before, after in rules if kind == "end" else compiled_blanks():
-            if before.match(shadow, pos) and after.match(shadow, nxt):
+        for breaks, joint, single in rules if kind == "end" else compiled_blanks():
+            if _matches(joint, single, shadow, pos, nxt):
                 break
         else:
             continue
