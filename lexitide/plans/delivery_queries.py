@@ -10,12 +10,12 @@ from lexitide.runtime import table
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return one_per_message(table(spark, sf, "tweets")).where("n_deliveries > 1").select("id")
+    return one_per_message(table(spark, sf, "tweets"), columns=()).where("n_deliveries > 1").select("id")
 
 
 def p5_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """The kept delivery of every message; times as microseconds so that any engine compares them alike."""
-    kept = one_per_message(table(spark, sf, "tweets"))
+    """The kept delivery of every message."""
+    kept = one_per_message(table(spark, sf, "tweets"), columns=("full_text", "batch_no", "line_no"))
     return kept.select("id", "full_text", "batch_no", "line_no", "n_deliveries")
 
 

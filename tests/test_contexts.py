@@ -56,6 +56,9 @@ def test_one_row_per_message(spark):
     again = {r.id: r for r in one_per_message(df.repartition(5, "full_text").orderBy(F.desc("full_text"))).collect()}
     assert again == got
     assert one_per_message(df.limit(0)).count() == 0
+    few = {r.id: r for r in one_per_message(df, columns=("line_no",)).collect()}
+    assert {k: (r.line_no, r.n_deliveries) for k, r in few.items()} == {k: (r.line_no, r.n_deliveries) for k, r in got.items()}
+    assert {r.id for r in one_per_message(df, columns=()).collect()} == set(got)
     assert one_per_message(df.select("id")).orderBy("id").collect()[0].n_deliveries == 3
     clash = df.withColumn("_number", F.lit("x")).withColumn("_row", F.lit("y"))
     assert {r.id: (r._number, r._row) for r in one_per_message(clash).collect()} == {k: ("x", "y") for k in got}
