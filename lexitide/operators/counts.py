@@ -15,6 +15,11 @@ def count_tokens(df: DataFrame, tokens: Column, *by: str) -> DataFrame:
     return df.select(*by, F.explode(tokens).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted_word() -> Column:
+    """The word of a counted row; as it reads the count too, a filter on it isn't moved below the count, to every single token."""
+    return F.when(F.col("n") > 0, F.col("word"))
+
+
 def count_kept_tokens(df: DataFrame, tokens: Column, keep: Callable[[Column], Column], *by: str) -> DataFrame:
     """(by..., word, n) of the tokens that ``keep`` holds for, in lower case.
 
@@ -22,7 +27,7 @@ def count_kept_tokens(df: DataFrame, tokens: Column, keep: Callable[[Column], Co
     in letter case is added up at the end, over these few rows.
     """
     raw = count_tokens(df, tokens, *by)
-    return raw.where(keep(F.col("word"))).groupBy(*by, F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+    return raw.where(keep(counted_word())).groupBy(*by, F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def merge_steps(timestep: Column, merged: Column, to: str = "modern") -> Column:

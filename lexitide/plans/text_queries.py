@@ -43,7 +43,7 @@ def token_predicates(spark: SparkSession, sf: str) -> DataFrame:
 def control_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates for control words: clean tokens that aren't target words, with their counts."""
     docs = _documents(spark, sf, "text")
-    counted = counts.count_tokens(docs, tokens.space_tokens(F.col("text"))).where(tokens.control_token(F.col("word")))
+    counted = counts.count_tokens(docs, tokens.space_tokens(F.col("text"))).where(tokens.control_token(counts.counted_word()))
     return counted.join(table(spark, sf, "target_words").where("word is not null").select("word"), "word", "left_anti")
 
 
