@@ -163,6 +163,37 @@ def test_mixture_meets_languages_and_topics(spark):
         mixing.mix(docs, targets, most_cells=3)
 
 
+def test_mixture_keeps_to_the_fitted_cells(spark):
+    """What is drawn keeps to the fitted topics, to about a document a cell, also where a source runs out before the asked size."""
+    rng, rows = random.Random(4), []
+    for k in range(4000):
+        rows.append((k, "x" * rng.randrange(100, 300), rng.choice(["a", "b"]), "en", f"{1650 + 50 * (k % 8)}s", 0))
+    size = {r[0]: len(r[1]) for r in rows}
+    targets = spark.createDataFrame([("a", 1.0, 1), ("b", 3.0, 1)], TARGETS)
+    names = [f"from_{1650 + 50 * i}" for i in range(8)]
+    mixture = mixing.mix(spark.createDataFrame(rows, DOCS), targets, total_tokens=200_000, topic_targets={t: i + 1.0 for i, t in enumerate(names)}).collect()
+    drawn = Counter()
+    for r in mixture:
+        drawn[r.doc_id % 8] += size[r.doc_id] * r.copies
+    assert sum(drawn.values()) == pytest.approx(200_000, abs=600)
+    assert max(abs(drawn[i] - 200_000 * (i + 1) / 36) for i in range(8)) < 800  # two cells of texts under 300, and the sources' own cut
+    few = spark.createDataFrame([r for r in rows if r[2] == "b" or r[0] < 40], DOCS)
+    have = sum(size[r[0]] for r in rows if r[2] == "b")
+    short = mixing.mix(few, spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 1)], TARGETS), total_tokens=have, topic_targets={t: 3.0 if i < 4 else 1.0 for i, t in enumerate(names)}).collect()
+    whole = sum(size[r.doc_id] for r in short)
+    assert have / 2 < whole < have / 2 + 10_000 and sum(size[r.doc_id] for r in short if r.doc_id % 8 < 4) / whole == pytest.approx(0.75, abs=0.01)
+
+
+def test_a_fit_of_many_caps_meets_its_source():
+    """Caps that are reached one after the other refuse nothing that other cells have room for."""
+    import pandas as pd
+
+    n = 60
+    cells = pd.DataFrame({"source": "a", "language": [f"l{i}" for i in range(n)], "tokens": 100.0})
+    want = mixing.rake(cells, {"source": {"a": 5_000.0 * n}}, 1.3 ** np.arange(n))
+    assert want.sum() == pytest.approx(5_000 * n, rel=1e-9) and (want <= 100 * 1.3 ** np.arange(n) * (1 + 1e-9)).all()
+
+
 def _planted(n, seed=1, width=96):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, width))
